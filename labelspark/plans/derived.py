@@ -7,12 +7,13 @@ derive the same inputs on both sides. Every source row is kept; residues only pi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labelspark import fixed_values as V
 
 PART_BASE = "SELECT p_partkey AS k, p_name, p_brand, p_type, p_size FROM {part}"
 LINE_BASE = (
-    "SELECT l_orderkey * 8 + l_linenumber AS k, p_name, p_brand, p_type, p_size "
+    "SELECT l_orderkey * 1000000 + l_partkey AS k, p_name, p_brand, p_type, p_size "
     "FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
 )
 _ABV = "CAST(CAST(p_size AS DOUBLE) / 2 + 4 AS STRING)"
@@ -66,6 +67,53 @@ FROM (@base) b
 """
 
 
+# The true verdict of each derived label, from the same residues.
+EXPECTED = """
+SELECT concat('part_', CAST(k AS STRING), '.png') AS filename,
+  k % 5 <> 4 AS exp_brand,
+  k % 9 NOT IN (3, 4, 5) AND k % 41 <> 0 AS exp_alcohol,
+  k % 11 IN (0, 3, 6, 9, 10) AS exp_warning,
+  CASE WHEN k % 11 = 0 THEN 'clean' ELSE 'degraded' END AS kind
+FROM (@base) b
+"""
+
+# Passages from documents, questions from benchmark texts.
+CORPUS = """
+SELECT doc_id, doc_id AS ordinal, lang AS beverage_type, source AS section,
+  concat('(', lang, ')') AS paragraph,
+  concat('doc:', CAST(doc_id AS STRING)) AS source_url,
+  concat(source, ' ', lang, ' passage') AS heading, text
+FROM {documents}
+"""
+QUESTIONS = """
+SELECT item_id AS query_id, text AS question,
+  CASE item_id % 3 WHEN 0 THEN 'EN' WHEN 1 THEN 'fr' ELSE '' END AS beverage_type
+FROM {benchmark}
+"""
+
+# Audit rows from events; some reasons are blank, some hold quotes, breaks and formulas.
+AUDIT = """
+SELECT event_id * 2 AS id, CAST(user_id AS STRING) AS chain,
+  concat('t', CAST(@micros AS STRING)) AS ts,
+  concat('user-', CAST(user_id AS STRING)) AS actor, event_type AS action,
+  CASE WHEN event_id % 5 = 0 THEN NULL ELSE props END AS target_result_id,
+  CASE WHEN value > 50 THEN 'FLAG' ELSE NULL END AS old_verdict,
+  CASE WHEN value > 20 THEN 'PASS' ELSE 'FLAG' END AS new_verdict,
+  CASE WHEN event_id % 97 = 0 THEN '  '
+    WHEN event_id % 13 = 0 THEN concat('=sum(', CAST(event_id AS STRING), ') ')
+    WHEN event_id % 11 = 0 THEN concat('said "no"', chr(9), 'twice', chr(10), 'a', chr(92), 'b')
+    ELSE concat(' checked by hand ', CAST(event_id AS STRING)) END AS reason
+FROM {events}
+"""
+
+# Uploads from events: a thread per user, sizes in cents.
+UPLOADS = """
+SELECT CAST(user_id AS STRING) AS thread, event_id AS seq,
+  CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS size
+FROM {events}
+"""
+
+
 def claims_sql(base: str = PART_BASE) -> str:
     return CLAIMS.replace("@base", base)
 
@@ -78,6 +126,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def micros(sql: str, engine: str = "spark") -> str:
+    """The one expression the engines spell differently: microseconds of a timestamp."""
+    return sql.replace("@micros", "unix_micros(ts)" if engine == "spark" else "epoch_us(ts)")
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run derivation SQL; ``{name}`` placeholders bind the parquet tables."""
     names = [n for n in TABLES if "{" + n + "}" in sql]
@@ -103,3 +156,40 @@ def claims(spark: SparkSession, sf_dir: str, base: str = PART_BASE) -> DataFrame
 
 def labels(spark: SparkSession, sf_dir: str, base: str = PART_BASE) -> DataFrame:
     return run(spark, sf_dir, labels_sql(base))
+
+
+def expected(spark: SparkSession, sf_dir: str, base: str = PART_BASE) -> DataFrame:
+    return run(spark, sf_dir, EXPECTED.replace("@base", base))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, CORPUS)
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, QUESTIONS)
+
+
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows before chaining; ``unix_micros`` reads the column as an instant."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.sql(micros(AUDIT), events=events)
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, UPLOADS)
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-level reads: lines split on white space, twenty lines per block, -1 marks no text."""
+    lines = table(spark, sf_dir, "documents").select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_num", "line")
+    )
+    return lines.select(
+        "doc_id", "line_num", F.posexplode(F.split("line", " ")).alias("word_num", "text")
+    ).select(
+        F.col("doc_id").cast("string").alias("label_id"),
+        F.floor(F.col("line_num") / 20).cast("int").alias("block_num"),
+        F.lit(0).alias("par_num"), "line_num", "word_num", "text",
+        ((F.col("doc_id") * 31 + F.col("word_num") * 7) % 101 - 1).cast("double").alias("conf"),
+    )

@@ -3,6 +3,9 @@
 Spark has no LCS function (``levenshtein`` counts substitutions), so scoring runs in Arrow UDFs.
 The kernel is bit-parallel and works on whole Arrow batches: every pair of the batch advances
 one character per numpy step, with needles longer than 64 characters spread over several words.
+
+The UDFs are marked non-deterministic although they are not: it keeps the optimizer from
+copying a scored column into pushed-down filters and scoring rows twice.
 """
 
 from __future__ import annotations
@@ -262,11 +265,11 @@ def _window_ratio_udf(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def ratio(a: Column, b: Column) -> Column:
     """Similarity of two strings; a null on either side gives null without scoring."""
-    return _ratio_udf(a, b)
+    return _ratio_udf.asNondeterministic()(a, b)
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
-    return _window_ratio_udf(a, b)
+    return _window_ratio_udf.asNondeterministic()(a, b)
 
 
 def best_lines(claims: list[str], texts: list[list[str]], least: int) -> tuple[list, list]:
@@ -328,4 +331,4 @@ def best_line_udf(least: int):
             [pa.array(scores, pa.float64()), pa.array(places, pa.int32())], ["score", "pos"]
         )
 
-    return score
+    return score.asNondeterministic()

@@ -145,8 +145,13 @@ def needs_attention(rows: DataFrame) -> DataFrame:
 
 
 def field_rows(rows: DataFrame) -> DataFrame:
-    """Long form: one row per (file, field)."""
-    return rows.select("filename", "status", F.explode("fields").alias("f")).select(
+    """Long form: one row per (file, field).
+
+    The outer form of explode infers no filter on the array, which would be pushed below the
+    matchers and evaluate them again.
+    """
+    long = rows.select("filename", "status", F.explode_outer("fields").alias("f"))
+    return long.filter("f is not null").select(
         "filename", "status", "f.*", matching.field_verdict(F.col("f")).alias("verdict")
     )
 

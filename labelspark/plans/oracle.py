@@ -422,13 +422,14 @@ src AS (SELECT * FROM raw WHERE {keep}),
 fields AS (SELECT * FROM f_brand UNION ALL SELECT * FROM f_abv UNION ALL SELECT * FROM f_warn
   UNION ALL SELECT * FROM f_net UNION ALL SELECT * FROM f_class),
 judged AS (
-  SELECT r.id, r.filename, r.confidence, ({keep}) AS readable,
-    (({keep}) AND (r.confidence < 55 OR coalesce(bool_or(f.inconclusive), false))) AS needs_review,
+  SELECT r.id, r.filename, r.confidence, any_value({keep}) AS readable,
+    (any_value({keep}) AND (any_value(r.confidence) < 55
+      OR coalesce(bool_or(f.inconclusive), false))) AS needs_review,
     coalesce(bool_and(f.passed), false) AS all_ok, count(f.field) AS n_fields,
     count(*) FILTER (f.passed = false) AS flagged_count,
     string_agg(concat(f.field, '=', CASE WHEN f.passed THEN 'PASS' WHEN f.inconclusive THEN 'REVIEW'
-      ELSE 'FLAG' END), ',' ORDER BY f.ord) AS verdicts
-  FROM raw r LEFT JOIN fields f ON f.id = r.id GROUP BY ALL),
+      ELSE 'FLAG' END), ',' ORDER BY f.ord) FILTER (f.field IS NOT NULL) AS verdicts
+  FROM raw r LEFT JOIN fields f ON f.id = r.id GROUP BY r.id, r.filename, r.confidence),
 verified AS (
   SELECT *, (readable AND NOT needs_review AND all_ok) AS overall_pass,
     CASE WHEN NOT readable THEN 'unreadable' WHEN needs_review THEN 'needs_review'

@@ -281,7 +281,7 @@ def prj10(spark, sf):
     done = _verified(spark, sf).withColumn("confidence", F.col("confidence") + 0.5)
     record = matching.result_record(done)
     return record.select("filename", "readable", "overall_pass", "needs_review", "confidence",
-                         "message", F.explode("fields").alias("f")).select(
+                         "message", F.explode_outer("fields").alias("f")).filter("f is not null").select(
         "filename", "readable", "overall_pass", "needs_review", "confidence", "message",
         "f.field", "f.label", "f.passed", "f.expected", "f.found", "f.detail",
     )

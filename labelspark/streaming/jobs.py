@@ -10,12 +10,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from labelspark import fixed_values as V
 from labelspark.operators import audit, matching, quota
+from labelspark.settings import CHAIN_BUCKET_ROWS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -106,17 +107,34 @@ def approval_gate(events: DataFrame) -> DataFrame:
     )
 
 
-def approval_gate_batch(events: DataFrame) -> DataFrame:
+def approval_gate_batch(events: DataFrame, bucket_rows: int = CHAIN_BUCKET_ROWS) -> DataFrame:
     """Batch twin: each write takes the next decision of its thread.
 
-    The next decision is a running minimum over later rows; writes with none are still pending
-    and stay out, as in the stream.
+    The look-ahead runs inside (thread, sequence bucket); a bucket without a later decision
+    takes the first one of the next buckets from a small table, so a hot thread spreads over
+    tasks. Writes with no decision are still pending and stay out, as in the stream.
     """
-    from pyspark.sql import Window
-
-    later = Window.partitionBy("thread").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     decision = F.when(F.col("kind") == "decision", F.struct("seq", "text"))
-    judged = events.withColumn("_next", F.min(decision).over(later)).filter("kind = 'call'")
+    rows = events.withColumn("_bucket", F.floor(F.col("seq") / bucket_rows))
+    heads = rows.filter("kind = 'decision'").groupBy("thread", "_bucket").agg(
+        F.min(F.struct("seq", "text")).alias("_head")
+    )
+    buckets = rows.select("thread", "_bucket").distinct().join(
+        heads, ["thread", "_bucket"], "left"
+    )
+    after = Window.partitionBy("thread").orderBy(F.desc("_bucket")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    carried = buckets.select("thread", "_bucket", F.min("_head").over(after).alias("_later"))
+    inside = Window.partitionBy("thread", "_bucket").orderBy(F.desc("seq")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    judged = (
+        rows.withColumn("_here", F.min(decision).over(inside))
+        .join(carried, ["thread", "_bucket"])
+        .withColumn("_next", F.coalesce("_here", "_later"))
+        .filter("kind = 'call'")
+    )
     write = F.col("name").isin(V.WRITE_TOOLS)
     yes = F.lower(F.ltrim(F.col("_next.text"))).startswith("approve")
     return judged.filter(~write | F.col("_next").isNotNull()).select(

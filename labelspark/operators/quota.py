@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelspark import fixed_values as V
 
@@ -30,7 +31,10 @@ def admit(
     """
     large = F.col("size") > max_file
     rest = files.filter(~large).repartition("thread").sortWithinPartitions("thread", *order)
-    schema = rest.schema.add("accepted", "boolean").add("used_after", "double")
+    schema = T.StructType([
+        *files.schema.fields, T.StructField("accepted", T.BooleanType()),
+        T.StructField("used_after", T.DoubleType()),
+    ])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         thread, used = None, 0.0

@@ -696,3 +696,641 @@ def finish() -> dict[str, str]:
     )
     out["std03_claimed_abv"] = _designations("SELECT claim_id, coalesce(abv, -1) AS abv FROM dj")
     return out
+
+
+# --- second part -------------------------------------------------------------------------
+
+CORPUS = f"corpus AS ({D.plain(D.CORPUS)})"
+ASKED = f"asked AS ({D.plain(D.QUESTIONS)})"
+STOP = "(" + ", ".join(quote(w) for w in V.STOPWORDS) + ")"
+
+
+def fold(t: str) -> str:
+    return (f"CASE WHEN length({t}) > 3 AND ends_with({t}, 's') AND NOT ends_with({t}, 'ss') "
+            f"THEN left({t}, length({t}) - 1) ELSE {t} END")
+
+
+def token_rows(source: str, key: str, text: str) -> str:
+    """(key, pos, raw, term) rows of every token."""
+    return (
+        f"SELECT {key}, pos, raw, {fold('raw')} AS term FROM (SELECT {key}, "
+        f"unnest(range(1, len(r) + 1)) AS pos, unnest(r) AS raw FROM (SELECT {key}, "
+        f"regexp_extract_all(lower({text}), '[a-z0-9.]+') AS r FROM {source}))"
+    )
+
+
+CONTENT = f"raw NOT IN {STOP} AND length(raw) > 1"
+INDEX = f"""{CORPUS}, {ASKED},
+dt AS ({token_rows('corpus', 'doc_id', "concat(text, ' ', repeat(concat(heading, ' '), 3))")}),
+dc AS (SELECT DISTINCT doc_id, term FROM ({token_rows('corpus', 'doc_id',
+    "concat(text, ' ', heading)")}) q WHERE {CONTENT}),
+dl AS (SELECT c.doc_id, c.ordinal, count(d.term) AS dl FROM corpus c LEFT JOIN dt d
+  ON d.doc_id = c.doc_id GROUP BY ALL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+cdf AS (SELECT term, count(*) AS content_df FROM dc GROUP BY term),
+ridf AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw_idf FROM df, st),
+midf AS (SELECT avg(raw_idf) AS mean_idf FROM ridf),
+idf AS (SELECT term, CASE WHEN raw_idf < 0 THEN 0.25 * mean_idf ELSE raw_idf END AS idf
+  FROM ridf, midf),
+qt AS (SELECT query_id, term, count(*) AS repeats FROM ({token_rows('asked', 'query_id',
+    'question')}) q GROUP BY ALL),
+qc AS (SELECT DISTINCT query_id, term FROM ({token_rows('asked', 'query_id', 'question')}) q
+  WHERE {CONTENT}),
+qn AS (SELECT a.query_id, count(q.term) AS n_terms FROM asked a LEFT JOIN qc q
+  ON q.query_id = a.query_id GROUP BY ALL),
+sc AS (SELECT qt.query_id, tf.doc_id, round(sum(repeats * idf * tf * 2.5
+    / (tf + 1.5 * (0.25 + 0.75 * dl.dl / avgdl))), 9) AS bm25
+  FROM qt JOIN tf ON tf.term = qt.term JOIN idf ON idf.term = qt.term
+  JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY ALL),
+mt AS (SELECT qc.query_id, dc.doc_id, count(*) AS matched FROM qc JOIN dc ON dc.term = qc.term
+  GROUP BY ALL)"""
+# Every passage ranked for every question, zero scores included.
+RANKED = f"""{INDEX},
+al AS (SELECT a.query_id, d.doc_id, d.ordinal, coalesce(s.bm25, 0) AS bm25,
+  coalesce(m.matched, 0) AS matched FROM asked a, dl d
+  LEFT JOIN sc s ON s.query_id = a.query_id AND s.doc_id = d.doc_id
+  LEFT JOIN mt m ON m.query_id = a.query_id AND m.doc_id = d.doc_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, bm25 DESC,
+  ordinal) AS rank FROM al),
+hit AS (SELECT r.*, q.n_terms, CASE WHEN n_terms > 0 THEN matched / n_terms ELSE 0.0::DOUBLE END
+  AS coverage FROM rk r JOIN qn q ON q.query_id = r.query_id)"""
+EXEMPT = "('" + "', '".join(
+    sorted({k[:-1] if len(k) > 3 and k.endswith("s") and not k.endswith("ss") else k
+            for k, _ in V.EXPANSIONS})) + "')"
+OOV = f"""oov AS (SELECT query_id, term FROM qc WHERE term NOT IN (SELECT term FROM dc)
+  AND term NOT IN {EXEMPT})"""
+SUPPORT = ("CASE WHEN matched = 0 OR (n_terms >= 3 AND matched < 2) THEN false "
+           "ELSE coverage >= 0.5 END")
+SCOPED = f"""{RANKED}, {OOV},
+sp AS (SELECT h.*, c.beverage_type, (a.beverage_type = '' OR c.beverage_type =
+    lower(a.beverage_type) OR c.beverage_type = 'all') AS inside
+  FROM hit h JOIN corpus c ON c.doc_id = h.doc_id JOIN asked a ON a.query_id = h.query_id
+  WHERE rank <= 4),
+kp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM sp s
+  WHERE inside OR NOT EXISTS (SELECT 1 FROM sp t WHERE t.query_id = s.query_id AND t.inside)),
+tp AS (SELECT *, coverage AS top FROM kp WHERE place = 1)"""
+USED = """
+us AS (SELECT k.*, t.coverage AS top, k.coverage >= greatest(0.5, t.coverage * 0.5) AS good
+  FROM kp k JOIN tp t ON t.query_id = k.query_id),
+ud AS (SELECT *, row_number() OVER (PARTITION BY query_id, good ORDER BY place) AS nth,
+  bool_or(good) OVER (PARTITION BY query_id) AS any_good FROM us),
+used AS (SELECT * FROM ud WHERE (good AND nth <= 3) OR (NOT any_good AND place = 1))"""
+ANSWERS = f"""{SCOPED}, {USED},
+okq AS (SELECT query_id FROM tp WHERE ({SUPPORT}) AND query_id NOT IN (SELECT query_id FROM oov)),
+ap AS (SELECT u.query_id, string_agg(concat('27 CFR ', section, paragraph, ' — ', c.text),
+    chr(10) || chr(10) ORDER BY place) AS body,
+  string_agg(concat('27 CFR ', section, paragraph), '; ' ORDER BY place) AS cites,
+  list(section) AS sections FROM used u JOIN corpus c ON c.doc_id = u.doc_id
+  WHERE u.query_id IN (SELECT query_id FROM okq) GROUP BY u.query_id),
+ans AS (SELECT a.query_id, CASE WHEN p.body IS NULL THEN 'refused' ELSE 'answered' END AS status,
+  CASE WHEN p.body IS NULL THEN {quote(V.REFUSAL)} ELSE
+    concat('Based only on the regulations on file:', chr(10), chr(10), p.body) END AS answer,
+  coalesce(p.cites, '') AS citations, coalesce(p.sections, []) AS sections
+  FROM asked a LEFT JOIN ap p ON p.query_id = a.query_id)"""
+
+ORACLE["ret01_tokens"] = f"""
+SELECT d.doc_id, coalesce(t.tokens, '') AS tokens FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS tokens FROM (
+    {token_rows('documents', 'doc_id', 'text')}) GROUP BY 1) t ON t.doc_id = d.doc_id"""
+ORACLE["ret02_content_terms"] = f"""
+SELECT d.doc_id, coalesce(t.terms, '') AS terms FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(DISTINCT term, ' ' ORDER BY term) AS terms FROM (
+    {token_rows('documents', 'doc_id', 'text')}) WHERE {CONTENT} GROUP BY 1) t
+ON t.doc_id = d.doc_id"""
+ORACLE["agg04_document_frequency"] = f"""WITH {INDEX}
+SELECT df.term, df.df, coalesce(content_df, 0) AS content_df FROM df
+LEFT JOIN cdf ON cdf.term = df.term"""
+ORACLE["agg05_corpus_statistics"] = f"""WITH {INDEX}
+SELECT n AS n_docs, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf FROM st, midf"""
+ORACLE["agg06_corpus_fingerprint"] = f"""
+WITH {CORPUS}, h AS (SELECT sha256(concat(CAST(ordinal AS VARCHAR), chr(0), heading, '. ', text))
+  AS d FROM corpus)
+SELECT sha256(concat_ws(':', 'letters', CAST(count(*) AS VARCHAR), """ + ", ".join(
+    f"CAST(sum(CAST(concat('0x', substr(d, {1 + 8 * i}, 8)) AS BIGINT)) AS VARCHAR)"
+    for i in range(8)
+) + ")) AS fingerprint FROM h"
+ORACLE["ret03_bm25"] = f"""WITH {INDEX}
+SELECT s.query_id, count(*) AS passages, round(sum(bm25), 4) AS mass, round(max(bm25), 6) AS top,
+  CAST(sum(coalesce(matched, 0)) AS BIGINT) AS matched FROM sc s
+LEFT JOIN mt m ON m.query_id = s.query_id AND m.doc_id = s.doc_id GROUP BY s.query_id"""
+ORACLE["ret04_coverage"] = f"""WITH {RANKED}
+SELECT query_id, doc_id, matched, n_terms, round(coverage, 6) AS coverage FROM hit WHERE rank <= 4"""
+ORACLE["srt02_lexical_top_k"] = f"""WITH {RANKED}
+SELECT query_id, doc_id, rank, round(bm25, 6) AS bm25 FROM hit WHERE rank <= 10"""
+_LETTERS = ", ".join(
+    f"(length(lower(@t)) - length(replace(lower(@t), '{x}', '')))::DOUBLE"
+    for x in "abcdefghijklmnopqrstuvwxyz"
+)
+
+
+def _unit(v: str) -> str:
+    n = f"sqrt(list_sum(list_transform({v}, lambda y: y * y)))"
+    return f"list_transform({v}, lambda z: z / CASE WHEN {n} = 0 THEN 1 ELSE {n} END)"
+
+
+ORACLE["ret06_rank_fusion"] = f"""WITH {RANKED},
+dv AS (SELECT doc_id, ordinal, {_unit('v')} AS u FROM (SELECT doc_id, ordinal,
+  [{_LETTERS.replace('@t', 'text')}] AS v FROM corpus)),
+qv AS (SELECT query_id, {_unit('v')} AS u FROM (SELECT query_id,
+  [{_LETTERS.replace('@t', 'question')}] AS v FROM asked)),
+sm AS (SELECT query_id, doc_id, ordinal, round(list_dot_product(q.u, d.u), 12) AS sim
+  FROM qv q, dv d),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, ordinal) - 1
+  AS dense_rank FROM sm),
+fu AS (SELECT r.query_id, r.doc_id, r.ordinal, r.rank - 1 AS lex_rank, d.dense_rank,
+  1.0::DOUBLE / (60 + r.rank - 1) + 1.0::DOUBLE / (60 + d.dense_rank) AS fused
+  FROM rk r JOIN dr d ON d.query_id = r.query_id AND d.doc_id = r.doc_id)
+SELECT query_id, doc_id, rn AS rank, lex_rank, dense_rank, round(fused, 9) AS fused FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, ordinal) AS rn FROM fu)
+WHERE rn <= 4"""
+ORACLE["ret07_support_gate"] = f"""WITH {RANKED}
+SELECT query_id, doc_id, {SUPPORT} AS supported FROM hit WHERE rank = 1"""
+ORACLE["ret08_distinguishing_terms"] = f"WITH {INDEX}, {OOV} SELECT query_id, term FROM oov"
+ORACLE["prj13_scope_filter"] = f"WITH {SCOPED} SELECT query_id, doc_id, beverage_type FROM kp"
+ORACLE["win03_used_hits"] = (
+    f"WITH {RANKED}, kp AS (SELECT *, rank AS place FROM hit WHERE rank <= 4), "
+    f"tp AS (SELECT * FROM kp WHERE place = 1), {USED} SELECT query_id, doc_id, place FROM used"
+)
+ORACLE["ret09_answers"] = (
+    f"WITH {ANSWERS} SELECT query_id, status, answer, citations FROM ans"
+)
+_EXPAND = " || ".join(
+    f"CASE WHEN contains(lower(t), '{k}') THEN ' {v}' ELSE '' END" for k, v in V.EXPANSIONS
+)
+ORACLE["ret10_expand_query"] = f"""
+WITH {CLA}, b AS (SELECT row_number, concat_ws(' ', brand, CASE row_number % 4
+  WHEN 0 THEN 'Title case header' WHEN 1 THEN 'ABV wording' ELSE 'class' END) AS t FROM cla)
+SELECT row_number, t || {_EXPAND} AS expanded FROM b"""
+ORACLE["jn09_postings_join"] = f"""WITH {INDEX}
+SELECT qt.term, count(*) AS queries, max(df.df) AS passages, CAST(sum(repeats) AS BIGINT) AS repeats
+FROM qt JOIN df ON df.term = qt.term GROUP BY qt.term"""
+ORACLE["set01_term_intersection"] = f"""
+WITH {CORPUS}, {ASKED}, q AS (SELECT DISTINCT query_id, term FROM ({token_rows('asked', 'query_id',
+    'question')}) x WHERE {CONTENT}),
+d AS (SELECT DISTINCT doc_id, term FROM ({token_rows('corpus', 'doc_id', 'text')}) x WHERE {CONTENT})
+SELECT a.query_id, count(d.term) AS shared, count(q.term) - count(d.term) AS missing FROM asked a
+JOIN corpus c ON c.doc_id = a.query_id LEFT JOIN q ON q.query_id = a.query_id
+LEFT JOIN d ON d.doc_id = a.query_id AND d.term = q.term GROUP BY a.query_id"""
+VECTORS = f"""
+vx AS (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x,
+  unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL),
+ce AS (SELECT label::BIGINT AS query_id, list(x ORDER BY i) AS c FROM vx GROUP BY label),
+eu AS (SELECT vec_id AS doc_id, label, {_unit('e')} AS u FROM (
+  SELECT *, list_transform(embedding, lambda y: y::DOUBLE) AS e FROM embeddings)),
+cu AS (SELECT query_id, {_unit('c')} AS u FROM ce),
+vs AS (SELECT query_id, doc_id, label, round(list_dot_product(c.u, e.u), 12) AS sim FROM cu c, eu e),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM vs)"""
+ORACLE["srt03_dense_top_k"] = f"""WITH {VECTORS}
+SELECT query_id, doc_id, round(sim, 6) AS sim, rank FROM vr WHERE rank <= 10"""
+ORACLE["ret05_cosine"] = f"""WITH {VECTORS}
+SELECT doc_id, round(sim, 6) AS similarity FROM vs WHERE query_id = label"""
+ORACLE["jn10_vector_join"] = f"""WITH {VECTORS}
+SELECT doc_id, count(*) AS queries FROM vr WHERE rank <= 3 GROUP BY doc_id"""
+_TOKENS = """SELECT doc_id, len(regexp_extract_all(lower(@t), '[a-z0-9.]+'))::DOUBLE AS tokens FROM """
+ORACLE["udf02_embedder"] = _TOKENS.replace("@t", "text") + "documents"
+ORACLE["snk04_persisted_vectors"] = (
+    f"WITH {CORPUS} " + _TOKENS.replace("@t", "concat(heading, '. ', text)") + "corpus"
+)
+
+# --- audit -------------------------------------------------------------------------------
+
+
+def _json(c: str) -> str:
+    e = c
+    for a, b in (("\\", "\\\\"), ('"', '\\"')):
+        e = f"replace({e}, '{a}', '{b}')"
+    for code, b in ((8, "\\b"), (9, "\\t"), (10, "\\n"), (12, "\\f"), (13, "\\r")):
+        e = f"replace({e}, chr({code}), '{b}')"
+    return f"CASE WHEN {c} IS NULL THEN 'null' ELSE concat('\"', {e}, '\"') END"
+
+
+def _canon(prefix: str = "") -> str:
+    return "concat('[', concat_ws(',', " + ", ".join(
+        _json(prefix + c) for c in V.AUDIT_CONTENT) + "), ']')"
+
+
+def _genesis() -> str:
+    from labelspark.operators.audit import GENESIS
+
+    return quote(GENESIS)
+
+
+AUD = f"""au AS ({D.plain(D.micros(D.AUDIT, 'duckdb'))}),
+ag AS (SELECT * REPLACE ({strip('reason')} AS reason) FROM au WHERE {strip('reason')} <> '')"""
+CONTENT_COLS = ", ".join(V.AUDIT_CONTENT)
+
+
+def _chain(source: str = "ag") -> str:
+    return f"""
+ac AS (SELECT *, {_canon()} AS content, row_number() OVER (PARTITION BY chain ORDER BY id) AS rn
+  FROM {source}),
+ch AS (
+  SELECT chain, id, rn, {_genesis()} AS prev_hash, sha256(concat({_genesis()}, content)) AS row_hash
+  FROM ac WHERE rn = 1
+  UNION ALL
+  SELECT a.chain, a.id, a.rn, c.row_hash, sha256(concat(c.row_hash, a.content))
+  FROM ch c JOIN ac a ON a.chain = c.chain AND a.rn = c.rn + 1),
+full_rows AS (SELECT a.* EXCLUDE (content, rn), c.prev_hash, c.row_hash FROM ac a
+  JOIN ch c ON c.chain = a.chain AND c.id = a.id),
+marks AS (SELECT chain, count(*) AS row_count, arg_max(row_hash, id) AS head_hash FROM full_rows
+  GROUP BY chain)"""
+
+
+def _tamper() -> str:
+    return f"""
+sn AS (SELECT f.*, m.head_hash, f.chain::BIGINT % 7 AS kind, f.row_hash = m.head_hash AS tail,
+  (f.id // 2) % 10 AS spot FROM full_rows f JOIN marks m ON m.chain = f.chain),
+ed AS (SELECT * REPLACE (CASE WHEN (kind = 1 AND spot = 3) OR (kind = 5 AND tail) THEN 'edited'
+    ELSE reason END AS reason) FROM sn
+  WHERE NOT (kind = 2 AND spot = 4) AND NOT (kind = 3 AND tail) AND kind <> 6),
+bad AS (
+  SELECT chain, id, {CONTENT_COLS}, prev_hash, CASE WHEN kind = 5 AND tail THEN
+    sha256(concat(prev_hash, {_canon()})) ELSE row_hash END AS row_hash FROM ed
+  UNION ALL
+  SELECT chain, id + 1, {CONTENT_COLS}, row_hash, sha256(concat(row_hash, {_canon()})) FROM sn
+  WHERE kind = 4 AND spot = 5),
+lk AS (SELECT *, coalesce(lag(row_hash) OVER (PARTITION BY chain ORDER BY id), {_genesis()}) AS want,
+  sha256(concat(prev_hash, {_canon()})) <> row_hash AS altered FROM bad),
+fb AS (SELECT chain, count(*) AS n, min(id) FILTER (altered OR prev_hash <> want) AS at_id,
+  arg_min(altered, id) FILTER (altered OR prev_hash <> want) AS was_altered,
+  max(id) AS last_id, arg_max(row_hash, id) AS last_hash FROM lk GROUP BY chain),
+rp AS (SELECT m.chain, coalesce(n, 0) AS n, row_count, head_hash, at_id, was_altered, last_id,
+  last_hash FROM marks m LEFT JOIN fb ON fb.chain = m.chain),
+kd AS (SELECT *, CASE WHEN n = 0 THEN 'gone' WHEN at_id IS NOT NULL THEN
+    CASE WHEN was_altered THEN 'altered' WHEN n > row_count THEN 'inserted' ELSE 'deleted' END
+  WHEN n < row_count THEN 'short' WHEN n > row_count THEN 'long'
+  WHEN last_hash <> head_hash THEN 'tail' ELSE '' END AS k FROM rp),
+report AS (SELECT chain, k = '' AS ok, CASE k WHEN 'gone' THEN 'truncated' WHEN 'short' THEN
+    'truncated' WHEN 'long' THEN 'inserted' WHEN 'tail' THEN 'altered' ELSE k END AS kind,
+  CASE k WHEN 'gone' THEN 1 WHEN 'short' THEN n + 1 WHEN 'long' THEN row_count + 1
+    WHEN 'tail' THEN last_id WHEN '' THEN -1 ELSE at_id END AS broken_position,
+  CASE k WHEN 'gone' THEN concat('all ', row_count, ' row(s) missing — chain truncated')
+    WHEN 'altered' THEN concat('row ', at_id, ': content does not match its hash — altered')
+    WHEN 'inserted' THEN concat('row ', at_id, ': prev_hash does not link to the prior row — inserted')
+    WHEN 'deleted' THEN concat('row ', at_id, ': prev_hash does not link to the prior row — deleted')
+    WHEN 'short' THEN concat('chain valid but ', row_count - n,
+      ' tail row(s) missing vs. checkpoint — truncated')
+    WHEN 'long' THEN 'more rows than the checkpoint records — inserted at tail'
+    WHEN 'tail' THEN concat('row ', last_id,
+      ': tail hash does not match the checkpoint head — altered')
+    ELSE concat('chain intact (', n, ' rows)') END AS message FROM kd)"""
+
+
+def audit_statements() -> dict[str, str]:
+    chain = f"WITH RECURSIVE {AUD}, {_chain()}"
+    tampered = f"{chain}, {_tamper()}"
+    defuse = ", ".join(
+        f"CASE WHEN regexp_matches(coalesce({c}::VARCHAR, ''), '^[=+\\-@\\t\\r]') THEN "
+        f"concat('''', {c}::VARCHAR) ELSE coalesce({c}::VARCHAR, '') END AS {c}"
+        for c in V.AUDIT_COLUMNS
+    )
+    split = AUD + (", asp AS (SELECT * REPLACE (concat(chain, '#', CAST(id // 4000 AS VARCHAR)) "
+                   "AS chain) FROM ag)")
+    status = "upper(trim(CASE id % 3 WHEN 0 THEN ' pass ' WHEN 1 THEN 'Flag' ELSE 'maybe' END))"
+    blank = f"{strip('reason')} = ''"
+    error = (f"CASE WHEN {blank} THEN 'An override needs a written reason; none was given.' "
+             f"WHEN {status} NOT IN ('PASS', 'FLAG') THEN 'new_status must be PASS or FLAG' END")
+    value = strip("reason")
+    return {
+        "aud01_canonical": f"WITH {AUD} SELECT id, {_canon()} AS content FROM ag",
+        "aud02_row_hash":
+            f"WITH {AUD} SELECT id, sha256(concat({_genesis()}, {_canon()})) AS hash FROM ag",
+        "aud03_chain_build": f"{chain} SELECT chain, id, prev_hash, row_hash FROM ch",
+        "aud03_rejected_rows":
+            f"WITH {AUD} SELECT id, 'an audit reason is required' AS error FROM au WHERE {blank}",
+        "aud03_split_chains": f"WITH RECURSIVE {split}, {_chain('asp')} "
+                              "SELECT chain, row_count, head_hash FROM marks",
+        "agg09_checkpoints": f"{chain} SELECT chain, row_count, head_hash FROM marks",
+        "win01_chain_links": f"{tampered} SELECT chain, id, prev_hash = want AS linked FROM lk",
+        "aud04_verify_chains":
+            f"{tampered} SELECT chain, ok, kind, broken_position, message FROM report",
+        "aud06_integrity_gate": f"{tampered} SELECT count(*) AS chains, "
+                                "count(*) FILTER (NOT ok) AS broken, bool_and(ok) AS ok FROM report",
+        "aud05_override_records": f"""WITH {AUD}, o AS (SELECT *, {error} AS err FROM au)
+SELECT id, coalesce(err, 'ok') AS outcome, CASE WHEN err IS NULL THEN 'override' ELSE '' END AS action,
+  CASE WHEN err IS NOT NULL THEN '' ELSE coalesce(target_result_id, 'unknown') END AS target_result_id,
+  CASE WHEN err IS NULL THEN {status} ELSE '' END AS new_verdict,
+  CASE WHEN err IS NULL THEN {value} ELSE '' END AS reason FROM o""",
+        "aud05_manual_records": f"""WITH {AUD}
+SELECT id, CASE WHEN {blank} THEN '' ELSE coalesce(target_result_id, 'current') END AS target_result_id,
+  CASE WHEN {blank} THEN '' ELSE concat(action, '=', {value}) END AS new_verdict,
+  CASE WHEN {blank} THEN 'Provide the value you read off the label.' ELSE
+    concat('OCR could not read ', action, '; human entered ''', {value}, '''') END AS reason FROM au""",
+        "snk02_audit_export": f"{chain} SELECT {defuse} FROM full_rows",
+        "srt01_recent_rows": f"WITH {AUD} SELECT id, ts, actor, action, new_verdict, reason FROM ag "
+                             "ORDER BY id DESC LIMIT 20",
+        "src10_audit_scan": f"{chain} SELECT id, actor, row_hash FROM full_rows",
+        "str01_audit_append": f"{chain} SELECT chain, id, prev_hash, row_hash FROM ch",
+    }
+
+
+UP = f"up AS ({D.plain(D.UPLOADS)})"
+QUOTA = f"""
+WITH RECURSIVE {UP},
+o AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY seq) AS rn FROM up
+  WHERE size <= 45000),
+q AS (
+  SELECT thread, seq, rn, size <= 100000 AS accepted, CASE WHEN size <= 100000 THEN size ELSE 0 END
+    AS used FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.thread, o.seq, o.rn, q.used + o.size <= 100000,
+    CASE WHEN q.used + o.size <= 100000 THEN q.used + o.size ELSE q.used END
+  FROM q JOIN o ON o.thread = q.thread AND o.rn = q.rn + 1)
+SELECT thread, seq, accepted, CASE WHEN accepted THEN '' ELSE
+  'this chat has reached its 50 MB upload limit' END AS reason FROM q
+UNION ALL SELECT thread, seq, false, 'too large — 10 MB max per file' FROM up WHERE size > 45000"""
+ORACLE["win07_quota_admission"] = QUOTA
+ORACLE["str03_quota_stream"] = QUOTA
+ORACLE["agg08_thread_bytes"] = f"WITH {UP} SELECT thread, sum(size) AS bytes FROM up GROUP BY 1"
+
+# --- evaluation --------------------------------------------------------------------------
+
+EXPECTED = f"truth AS ({D.plain(D.EXPECTED.replace('@base', D.PART_BASE))})"
+
+
+def _cell(field: str, truth: str) -> str:
+    return (f"CASE WHEN NOT readable THEN 'unreadable' WHEN {field} = {truth} THEN 'ok' "
+            f"WHEN {field} THEN 'WRONG(got True)' ELSE 'WRONG(got False)' END")
+
+
+def board_ctes(src: str = RAW_JOINED) -> str:
+    return f"""{verify_ctes(src)}, {EXPECTED},
+bd AS (SELECT v.*, t.exp_brand, t.exp_alcohol, t.exp_warning, t.kind, b.passed AS b, a.passed AS a,
+  w.passed AS w FROM verified v JOIN truth t ON t.filename = v.filename
+  LEFT JOIN f_brand b ON b.id = v.id LEFT JOIN f_abv a ON a.id = v.id
+  LEFT JOIN f_warn w ON w.id = v.id),
+board AS (SELECT *, CASE WHEN NOT readable OR needs_review THEN 'review'
+    WHEN b = exp_brand AND a = exp_alcohol AND w = exp_warning THEN 'correct' ELSE 'WRONG' END
+  AS outcome, exp_brand AND exp_alcohol AND exp_warning AS compliant FROM bd)"""
+
+
+BOARD_AGG = """count(*) AS total, count(*) FILTER (outcome = 'correct') AS conf_correct,
+  count(*) FILTER (outcome = 'WRONG') AS conf_wrong, count(*) FILTER (outcome = 'review') AS review,
+  count(*) FILTER (compliant) AS compliant,
+  count(*) FILTER (outcome = 'WRONG' AND compliant) AS false_pos,
+  count(*) FILTER (outcome = 'WRONG' AND NOT compliant) AS false_neg,
+  count(*) FILTER (kind = 'clean' AND b = exp_brand) + count(*) FILTER (kind = 'clean' AND
+    a = exp_alcohol) + count(*) FILTER (kind = 'clean' AND w = exp_warning) AS clean_c,
+  3 * count(*) FILTER (kind = 'clean' AND readable) AS clean_t"""
+ORACLE["evl01_case_outcomes"] = f"""WITH {board_ctes()}
+SELECT filename, outcome, {_cell('b', 'exp_brand')} AS brand_cell,
+  {_cell('a', 'exp_alcohol')} AS alcohol_content_cell,
+  {_cell('w', 'exp_warning')} AS government_warning_cell FROM board"""
+ORACLE["evl01_score_board"] = f"WITH {board_ctes()} SELECT kind, {BOARD_AGG} FROM board GROUP BY kind"
+ORACLE["evl02_headline_rates"] = f"""WITH {board_ctes()}, s AS (SELECT {BOARD_AGG} FROM board)
+SELECT conf_correct + conf_wrong AS conf_total,
+  round(100.0::DOUBLE * (total - conf_wrong) / greatest(total, 1), 6) AS correctness,
+  round(100.0::DOUBLE * (conf_correct + conf_wrong) / greatest(total, 1), 6) AS coverage,
+  round(100.0::DOUBLE * conf_wrong / greatest(conf_correct + conf_wrong, 1), 6) AS margin_of_error,
+  round(100.0::DOUBLE * false_pos / greatest(compliant, 1), 6) AS false_pos_rate,
+  round(100.0::DOUBLE * clean_c / greatest(clean_t, 1), 6) AS clean_accuracy FROM s"""
+_BEFORE = ("count(*) AS cases, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER "
+           "(outcome = 'WRONG') AS wrong, count(*) FILTER (outcome = 'review') AS review")
+ORACLE["evl03_before_after"] = f"""
+SELECT * FROM (WITH {board_ctes()} SELECT 'filed' AS config, {_BEFORE} FROM board)
+UNION ALL SELECT * FROM (WITH {board_ctes(RAW_JOINED.replace('c.alcohol_content',
+    "'5.0' AS alcohol_content"))} SELECT 'edited' AS config, {_BEFORE} FROM board)"""
+ORACLE["set03_cohort_union"] = """SELECT CASE WHEN p_partkey % 11 = 0 THEN 'clean' ELSE 'degraded' END
+  AS cohort, count(*) AS cases FROM part GROUP BY 1"""
+GOLDEN = f"""{ANSWERS},
+gold AS (SELECT a.query_id, CASE WHEN a.query_id % 4 = 0 THEN NULL ELSE c.section END AS section
+  FROM asked a LEFT JOIN corpus c ON c.doc_id = a.query_id),
+gc AS (SELECT g.query_id, n.status, coalesce(CASE WHEN g.section IS NULL THEN status = 'refused'
+    ELSE list_contains(n.sections, g.section) END, false) AS hit,
+  g.section IS NULL OR status = 'answered' AS cited
+  FROM gold g JOIN ans n ON n.query_id = g.query_id)"""
+ORACLE["jn07_golden_answers"] = f"WITH {GOLDEN} SELECT query_id, status, hit, cited FROM gc"
+ORACLE["evl04_retrieval_metrics"] = f"""WITH {GOLDEN}
+SELECT count(*) AS n, round(avg(hit::INT), 6) AS hit_rate, round(avg(cited::INT), 6) AS citation_rate
+FROM gc"""
+
+
+def _grid(points: list[tuple[str, dict]]) -> str:
+    names = list(points[0][1])
+    rows = ", ".join(
+        f"({quote(text)}, " + ", ".join(str(p[n]).lower() if isinstance(p[n], bool)
+                                        else f"{p[n]}::DOUBLE" for n in names) + ")"
+        for text, p in points
+    )
+    return f"(VALUES {rows}) gp(params, {', '.join(names)})"
+
+
+def sweep_statements() -> dict[str, str]:
+    from labelspark.operators import sweep as S
+
+    def points(grid):
+        return _grid([(S.params_text(p), p) for p in S.grid_points(grid)])
+
+    refuse = points({"min_coverage": V.MIN_COVERAGE_GRID, "min_dense_sim": V.MIN_DENSE_SIM_GRID})
+    cuts = points({"brand_cut": [80.0, 90.0, 95.0], "read_cut": [45.0, 55.0]})
+    rank = "row_number() OVER (ORDER BY feasible DESC, score DESC, params DESC) AS rank"
+    return {
+        "evl13_refuse_sweep": f"""WITH {SCOPED},
+sg AS (SELECT *, query_id % 4 = 0 AS probe, query_id NOT IN (SELECT query_id FROM oov) AS faithful
+  FROM tp),
+ev AS (SELECT params, probe, NOT faithful AS must, faithful AND CASE WHEN matched = 0 OR
+  (n_terms >= 3 AND matched < 2) THEN false ELSE coverage >= min_coverage END AS yes
+  FROM sg, {refuse}),
+pt AS (SELECT params, round(count(*) FILTER (probe AND NOT yes) / count(*) FILTER (probe), 6) AS score,
+  bool_and(probe OR CASE WHEN must THEN NOT yes ELSE yes END) AS feasible,
+  count(*) FILTER (NOT probe AND NOT must AND yes) AS golden_answered,
+  count(*) FILTER (NOT probe AND must AND NOT yes) AS golden_refused,
+  count(*) FILTER (probe AND NOT yes) AS probe_refused FROM ev GROUP BY params)
+SELECT *, {rank} FROM pt""",
+        "evl12_grid_sweep": f"""WITH {JOINED}, {best_line_ctes('br', 'brand')}, {EXPECTED},
+sg AS (SELECT s.confidence, b.score AS brand_score, t.exp_brand FROM src s JOIN br_best b
+  ON b.id = s.id JOIN truth t ON t.filename = s.filename),
+pt AS (SELECT params, round(avg(((brand_score >= brand_cut) = exp_brand)::INT), 6) AS score,
+  count(*) FILTER (confidence >= read_cut AND brand_score >= brand_cut AND NOT exp_brand) = 0
+  AS feasible FROM sg, {cuts} GROUP BY params)
+SELECT params, score, feasible, {rank} FROM pt""",
+    }
+
+
+ORACLE["win08_sweep_rank"] = """
+WITH b AS (SELECT concat('size=', CAST(p_size AS VARCHAR)) AS params, count(*)::DOUBLE AS score,
+  max(p_retailprice) > 1500 AS feasible FROM part GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY feasible DESC, score DESC, params DESC) AS rank FROM b)
+SELECT params, rank, rank = 1 AND feasible AS best FROM r"""
+
+# --- transcripts -------------------------------------------------------------------------
+
+
+def transcript_statements() -> dict[str, str]:
+    from labelspark.plans import queries_more as Q
+
+    steps = D.plain(Q.steps_sql()).replace("{{", "{").replace("}}", "}")
+    cases = D.plain(Q.CASES).replace("{{", "{").replace("}}", "}")
+    words = {"PASS": 4, "FLAG": 4, "NEEDS REVIEW": 12}
+    first = "least(" + ", ".join(
+        f"CASE WHEN strpos(msg, '{w}') > 0 THEN strpos(msg, '{w}') ELSE 1000000000 END"
+        for w in words) + ")"
+    base = f"""WITH sp AS ({steps}), cs AS ({cases}),
+sj AS (SELECT s.*, c.expected_tool FROM sp s JOIN cs c ON c.case_id = s.case_id),
+vf AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY step) AS rn FROM sj
+  WHERE kind = 'tool_result' AND tool IN ('verify_label', 'verify_text', 'batch_verify')),
+fm AS (SELECT case_id, text, row_number() OVER (PARTITION BY case_id ORDER BY step DESC) AS rn
+  FROM sj WHERE kind = 'message'),
+fc AS (SELECT c.*, v.result AS verify_result, m.text AS final_message,
+  coalesce(r.routed, false) AS routed, r.interrupt_at, r.result_at, r.lookups, r.faults
+  FROM cs c LEFT JOIN vf v ON v.case_id = c.case_id AND v.rn = 1
+  LEFT JOIN fm m ON m.case_id = c.case_id AND m.rn = 1
+  LEFT JOIN (SELECT case_id, bool_or(kind = 'tool_call' AND tool = expected_tool) AS routed,
+    min(step) FILTER (kind = 'interrupt') AS interrupt_at,
+    min(step) FILTER (kind = 'tool_result' AND tool = expected_tool) AS result_at,
+    count(*) FILTER (kind = 'tool_result' AND tool = 'regulatory_lookup') AS lookups,
+    count(*) FILTER (kind = 'tool_result' AND tool = 'regulatory_lookup' AND NOT (
+      (json_extract_string(result, '$.status') = 'answered' AND json_array_length(result, '$.citations') > 0)
+      OR (json_extract_string(result, '$.status') = 'refused' AND
+        json_array_length(result, '$.citations') = 0))) AS faults
+    FROM sj GROUP BY case_id) r ON r.case_id = c.case_id),
+wd AS (SELECT *, upper(coalesce(final_message, '')) AS msg,
+  json_extract_string(verify_result, '$.overall_pass') AS op,
+  json_extract_string(verify_result, '$.needs_review') AS nr,
+  ground_truth IS NULL OR (
+    json_extract_string(verify_result, '$.overall_pass') =
+      json_extract_string(ground_truth, '$.overall_pass')
+    AND json_extract_string(verify_result, '$.needs_review') =
+      json_extract_string(ground_truth, '$.needs_review')) AS same FROM fc),
+ws AS (SELECT *, CASE WHEN op IS NULL THEN NULL WHEN op = 'true' THEN 'PASS'
+  WHEN nr = 'true' THEN 'NEEDS REVIEW' ELSE 'FLAG' END AS want, {first} AS at_pos FROM wd),
+oc AS (SELECT case_id, msg, want, unnest(range(1, length(msg) + 1)) AS p FROM ws WHERE want IS NOT NULL),
+ng AS (SELECT case_id, bool_or(regexp_matches(substr(msg, greatest(p - 25, 1)::BIGINT,
+    (p - greatest(p - 25, 1))::BIGINT), '\\b(NOT|NO|NONE|NEVER|WITHOUT)\\b|N''T')) AS negated FROM oc
+  WHERE substr(msg, p, length(want)) = want GROUP BY case_id),
+gd AS (SELECT w.*, routed AS tool_routing,
+  coalesce(same AND want IS NOT NULL AND strpos(msg, want) = at_pos AND
+    NOT coalesce(n.negated, false), false) AS verdict_verbatim,
+  interrupt_at IS NOT NULL AND NOT coalesce(interrupt_at > result_at, false) AS gate_ok,
+  coalesce(lookups > 0 AND faults = 0, false) AS cite_or_refuse,
+  judge IS NOT NULL AS judged, judge NOT LIKE '%2.5%' AS judge_ok
+  FROM ws w LEFT JOIN ng n ON n.case_id = w.case_id),
+gr AS (SELECT *, CASE WHEN is_write AND NOT contains(invariants, 'confirm_gate') THEN false
+    WHEN contains(invariants, 'confirm_gate') THEN gate_ok END AS confirm_gate FROM gd),
+gp AS (SELECT *, tool_routing AND (NOT contains(invariants, 'verdict_verbatim') OR verdict_verbatim)
+  AND coalesce(confirm_gate, true) AND (NOT contains(invariants, 'cite_or_refuse') OR cite_or_refuse)
+  AND (NOT judged OR judge_ok) AS passed FROM gr)"""
+    entries = ("list_transform(list_sort(list_filter(json_keys(result), lambda k: k NOT IN "
+               "('elapsed_ms', 'fields'))), lambda k: concat(k, '=', "
+               "trim(json_extract(result, '$.' || k)::VARCHAR, '\"')))")
+    return {
+        "evl05_tool_routing": f"{base} SELECT case_id, tool_routing FROM gp",
+        "evl06_verdict_verbatim": f"{base} SELECT case_id, verdict_verbatim FROM gp "
+                                  "WHERE contains(invariants, 'verdict_verbatim')",
+        "evl07_confirm_gate":
+            f"{base} SELECT case_id, confirm_gate FROM gp WHERE confirm_gate IS NOT NULL",
+        "evl08_cite_or_refuse": f"{base} SELECT case_id, cite_or_refuse FROM gp "
+                                "WHERE contains(invariants, 'cite_or_refuse')",
+        "evl09_judge_floor": f"{base} SELECT case_id, judge_ok FROM gp WHERE judged",
+        "evl11_case_grades": f"{base} SELECT case_id, passed FROM gp",
+        "evl11_gate_summary": f"{base} SELECT count(*) AS cases, count(*) FILTER (passed) AS passed, "
+                              "count(*) FILTER (NOT passed) AS failed, bool_and(passed) AS ok FROM gp",
+        "win04_final_message":
+            f"{base} SELECT case_id, coalesce(final_message, '') AS final_message FROM fc",
+        "win05_interrupt_order": f"{base} SELECT case_id, coalesce(interrupt_at, -1) AS interrupt_at, "
+                                 "coalesce(result_at, -1) AS result_at FROM fc",
+        "win06_first_verification":
+            f"{base} SELECT case_id, coalesce(verify_result, '') AS verify_result FROM fc",
+        "jn08_truth_join": f"{base} SELECT case_id, same FROM wd WHERE verify_result IS NOT NULL "
+                           "AND ground_truth IS NOT NULL",
+        "prj11_verdict_projection": f"{base} SELECT case_id, step, array_to_string({entries}, ';') "
+                                    "AS core FROM sp WHERE kind = 'tool_result'",
+        "prj16_short_summary": f"""{base} SELECT case_id, step, CASE
+  WHEN json_extract_string(result, '$.overall_pass') IS NOT NULL THEN concat(CASE
+    WHEN json_extract_string(result, '$.overall_pass') = 'true' THEN 'PASS'
+    WHEN json_extract_string(result, '$.needs_review') = 'true' THEN 'NEEDS REVIEW' ELSE 'FLAG' END,
+    ' (', json_extract_string(result, '$.confidence'), '% confidence)')
+  WHEN json_extract_string(result, '$.ok') = 'true' THEN concat('override recorded → ',
+    json_extract_string(result, '$.new_status'), ' (audit #',
+    json_extract_string(result, '$.recorded_id'), ')')
+  ELSE result[1:120] END AS summary FROM sp WHERE kind = 'tool_result'""",
+        "snk03_transcript_documents": f"{base} SELECT case_id, count(*) AS steps, "
+                                      "count(*) FILTER (kind = 'message') AS messages FROM sp GROUP BY 1",
+        "src09_transcript_scan":
+            f"{base} SELECT case_id, expected_tool, invariants, is_write FROM cs",
+    }
+
+
+ORACLE["prj17_flatten_updates"] = """
+WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS case_id, turn AS update_idx, role, turn % 5 = 4 AS stop
+  FROM conversations)
+SELECT case_id, update_idx, 0 AS sub_idx, 'interrupt' AS kind, '' AS tool FROM c WHERE stop
+UNION ALL SELECT case_id, update_idx, 0, 'tool_result', 'verify_label' FROM c
+  WHERE NOT stop AND role <> 'assistant'
+UNION ALL SELECT case_id, update_idx, i, 'tool_call', 'verify_label' FROM c, range(2) r(i)
+  WHERE NOT stop AND role = 'assistant'
+UNION ALL SELECT case_id, update_idx, 2, 'message', '' FROM c WHERE NOT stop AND role = 'assistant'"""
+ORACLE["evl10_parse_scores"] = """
+SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN -1 ELSE conv_id % 5 END AS faithfulness,
+  -1 AS clarity, CASE WHEN turn % 4 = 3 THEN -1 ELSE turn % 6 END AS calibration,
+  CASE WHEN turn % 4 = 3 THEN '' ELSE 'ok' END AS justification FROM conversations"""
+
+# --- sources and streams -----------------------------------------------------------------
+
+ORACLE["src01_claims_csv"] = f"""WITH {CLA}
+SELECT lower(trim(filename)) AS filename, brand, alcohol_content, net_contents, '' AS class_type
+FROM cla"""
+ARCHIVES = """
+ar AS (SELECT doc_id // 20 AS a, doc_id, strlen(text) AS size, doc_id % 3 <> 0 AND doc_id % 7 <> 0
+  AS image FROM documents),
+ag AS (SELECT a, (a % 9) <> 0 AS valid, count(*) FILTER (image) AS images,
+  coalesce(max(size) FILTER (image), 0) AS largest, coalesce(sum(size) FILTER (image), 0) AS total
+  FROM ar GROUP BY a),
+ax AS (SELECT a, CASE WHEN valid THEN images ELSE 0 END AS images,
+  CASE WHEN valid THEN largest ELSE 0 END AS largest,
+  CAST(CASE WHEN valid THEN total ELSE 0 END AS BIGINT) AS total,
+  CASE WHEN NOT valid THEN 'That doesn''t look like a valid .zip file.'
+    WHEN images = 0 THEN 'No image files were found in the zip.'
+    WHEN largest > 20000 THEN 'A file in the zip is too large — 10 MB max per image.'
+    WHEN total > 100000 THEN 'The zip''s contents are too large to process (over the size limit).'
+    ELSE '' END AS reject_reason FROM ag)"""
+ORACLE["agg07_archive_guards"] = f"""WITH {ARCHIVES}
+SELECT CAST(a AS VARCHAR) AS archive, images, largest, total, reject_reason FROM ax"""
+ORACLE["src03_archive_members"] = f"""WITH {ARCHIVES}
+SELECT CAST(ar.a AS VARCHAR) AS archive, concat(CAST(doc_id AS VARCHAR), '.PNG') AS filename, size
+FROM ar JOIN ax ON ax.a = ar.a WHERE image AND reject_reason = ''"""
+ORACLE["src04_corpus_json"] = """
+SELECT CAST(doc_id // 50 AS VARCHAR) AS file, row_number() OVER (PARTITION BY doc_id // 50
+  ORDER BY doc_id) - 1 AS ordinal, source AS section, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'all'
+  END AS beverage_type, concat('doc:', CAST(doc_id AS VARCHAR)) AS source_url,
+  length(text) AS chars FROM documents"""
+ORACLE["src05_designations_json"] = f"""
+WITH n AS (SELECT concat(p_name, ' ', p_type) AS name, p_size FROM part
+  UNION ALL SELECT concat(p_brand, '-', p_name), p_size FROM part)
+SELECT {loose('name')} AS phrase, count(*) AS entries,
+  max(len(string_split({loose('name')}, ' '))) AS tokens, max(p_size)::DOUBLE AS abv_min
+FROM n GROUP BY 1"""
+ORACLE["src06_section_map_json"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS section, p_type AS part, p_name AS heading FROM part"""
+ORACLE["src07_golden_json"] = """
+SELECT text AS question, CAST(item_id AS VARCHAR) AS section, '' AS bt FROM benchmark"""
+ORACLE["src08_sidecars"] = """
+SELECT concat('p', p_partkey) AS name, concat('p', p_partkey, '.JPG') AS image, p_name AS brand,
+  CASE WHEN p_partkey % 3 = 0 THEN '5.0' ELSE CAST(p_size AS VARCHAR) END AS alcohol_content,
+  p_partkey % 4 <> 0 AS exp_brand, true AS exp_alcohol, p_partkey % 4 <> 0 AS exp_warning
+FROM part WHERE p_partkey % 5 <> 0"""
+ORACLE["str04_verify_stream"] = f"WITH {verify_ctes(RAW_BATCH)} SELECT filename, status FROM verified"
+_first_finish = finish
+
+
+def finish() -> dict[str, str]:  # noqa: F811
+    from labelspark.plans.queries_more import GATE_EVENTS
+
+    out = dict(ORACLE)
+    out.update(_first_finish())
+    out.update(audit_statements())
+    out.update(sweep_statements())
+    out.update(transcript_statements())
+    gate = f"""
+WITH e AS ({D.plain(GATE_EVENTS)}),
+n AS (SELECT *, (SELECT min(d.seq) FROM e d WHERE d.kind = 'decision' AND d.thread = e.thread
+  AND d.seq > e.seq) AS at_seq FROM e WHERE kind = 'call'),
+w AS (SELECT n.*, n.name <> 'verify_label' AS write, d.text AS said FROM n
+  LEFT JOIN e d ON d.seq = n.at_seq)
+SELECT thread, seq, name, NOT write OR lower(trim(said)) LIKE 'approve%' AS released,
+  CASE WHEN NOT write THEN 'read' WHEN lower(trim(said)) LIKE 'approve%' THEN 'approved'
+    ELSE 'cancelled' END AS outcome FROM w WHERE NOT write OR at_seq IS NOT NULL"""
+    out["str02_approval_gate"] = out["str02_approval_gate_batch"] = gate
+    return out

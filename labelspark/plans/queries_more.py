@@ -985,7 +985,9 @@ def str03(spark, sf):
 @query("str04_verify_stream")
 def str04(spark, sf):
     path = scratch_path(spark, "unique-claims")
-    batch.unique_claims(D.claims(spark, sf)).write.parquet(path)
+    standards.with_recognition(
+        batch.unique_claims(D.claims(spark, sf)), docs.default_designations(spark), "class_type"
+    ).write.parquet(path)
     labels = _as_stream(spark, D.labels(spark, sf), "labels-in")
     done = jobs.verify_stream(labels, spark.read.parquet(path))
     return _drain(done.select("filename", "status"), spark, "labels-out")

@@ -41,7 +41,8 @@ class _ChainAppender(StatefulProcessor):
         n, head = self.head.get() if self.head.exists() else (0, self.genesis)
         batch = _ordered(rows, ["id"])
         prevs, heads = [], []
-        for content in batch["_content"]:
+        # The last column is read by place: computed columns may lose their name on the way.
+        for content in batch.iloc[:, -1]:
             prevs.append(head)
             head = hashlib.sha256((head + content).encode("utf-8")).hexdigest()
             heads.append(head)
@@ -186,8 +187,10 @@ def quota_stream(events: DataFrame, cap: float = V.MAX_THREAD_BYTES,
 def verify_stream(labels: DataFrame, claims: DataFrame) -> DataFrame:
     """Arriving label text against a static unique-claims table; stateless, append mode.
 
-    ``claims`` is the output of :func:`batch.unique_claims`, written once and read as a table.
+    ``claims`` is the output of :func:`batch.unique_claims`, optionally with a ``recognition``
+    column from :func:`standards.with_recognition`, written once and read as a table.
     """
     keyed = labels.withColumn("key", F.lower(F.trim("filename")))
     joined = keyed.join(claims, "key")
-    return matching.verify_table(joined)
+    known = "recognition" if "recognition" in claims.columns else None
+    return matching.verify_table(joined, recognition=known)

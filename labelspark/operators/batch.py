@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from labelspark import fixed_values as V
 from labelspark.functions import text as T
 from labelspark.operators import matching, standards
-from labelspark.session import broadcast_if_bounded
+from labelspark.session import broadcast_if_bounded, spread
 
 CLAIM_FIELDS = ["brand", "alcohol_content", "net_contents", "class_type"]
 EXPORT_FIELDS = ["brand", "alcohol_content", "government_warning", "net_contents", "class_type"]
@@ -80,7 +80,7 @@ def verify_batch(
     Columns: section, ordinal, filename, status, message, fields, confidence, needs_review,
     overall_pass. Sort by (section, ordinal, filename) for the report order.
     """
-    joined, alone = join_claims(labels, claims)
+    joined, alone = join_claims(spread(labels), claims)
     recognised = None
     if dictionary is not None:
         resolved = standards.resolved_recognition(

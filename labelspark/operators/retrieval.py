@@ -3,9 +3,8 @@
 A corpus becomes three tables written once and reused by every query batch: ``docs`` (one row
 per passage), ``postings`` (term, doc, tf) range-partitioned by (term, doc) so row-group
 statistics prune to the asked terms and a frequent term spreads over many files, and ``vocab``
-(term, document frequencies). Ranking touches only postings of the asked terms; scores of one
-passage meet on its own partition, and the top-k window keeps k rows per task and query before
-anything crosses the network.
+(term, document frequencies). Ranking touches only postings of the asked terms, and
+the top-k window keeps k rows per task and query before its exchange.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from labelspark import fixed_values as V
 from labelspark.functions import text as T
-from labelspark.session import broadcast_if_bounded, scratch_path
+from labelspark.session import broadcast_if_bounded, scratch_path, spread
 from labelspark.settings import THRESHOLDS
 
 TOKEN = "[a-z0-9.]+"
@@ -42,7 +41,7 @@ def tokens(c: Column) -> Column:
 
 def content_terms(c: Column) -> Column:
     """Distinct folded terms; stop words are dropped before folding."""
-    kept = F.filter(raw_tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(V.STOPWORDS))
+    kept = F.filter(raw_tokens(c), is_content)
     return F.array_distinct(F.transform(kept, fold))
 
 
@@ -85,25 +84,24 @@ def document_text(weight: int) -> Column:
     return F.concat(F.coalesce("text", F.lit("")), F.lit(" "), weighted)
 
 
+def is_content(raw: Column) -> Column:
+    """A raw token that carries meaning: longer than one character, not a stop word."""
+    return (F.length(raw) > 1) & ~raw.isin(V.STOPWORDS)
+
+
 def document_terms(corpus: DataFrame) -> DataFrame:
     """(doc_id, ordinal, dl, term, tf, content): term counts of every passage.
 
-    Rows are first placed by ``doc_id``, so the count needs no second exchange and a term shared
-    by every passage never gathers in one task.
+    All tokens of a passage start in one task, so partial counts are already final there and
+    the exchange carries one row per (passage, term). ``content`` holds when any occurrence
+    was a content token before folding.
     """
     body = corpus.select(
-        "doc_id", "ordinal",
-        tokens(document_text(V.HEADING_WEIGHT)).alias("tokens"),
-        content_terms(document_text(1)).alias("content_terms"),
-    ).withColumn("dl", F.size("tokens"))
-    exploded = body.select("doc_id", "ordinal", "dl", F.explode("tokens").alias("term"),
-                           "content_terms")
-    spread = exploded.select(
-        "doc_id", "ordinal", "dl", "term",
-        F.array_contains("content_terms", F.col("term")).alias("content"),
+        "doc_id", "ordinal", raw_tokens(document_text(V.HEADING_WEIGHT)).alias("raw")
     )
-    return spread.groupBy("doc_id", "ordinal", "dl", "term").agg(
-        F.count("*").alias("tf"), F.bool_or("content").alias("content")
+    words = body.select("doc_id", "ordinal", F.size("raw").alias("dl"), F.explode("raw").alias("w"))
+    return words.groupBy("doc_id", "ordinal", "dl", fold(F.col("w")).alias("term")).agg(
+        F.count("*").alias("tf"), F.bool_or(is_content(F.col("w"))).alias("content")
     )
 
 
@@ -125,7 +123,7 @@ def build_index(corpus: DataFrame, path: str | None = None) -> Index:
     """Write the index of (doc_id, ordinal, heading, text, ...) passages to ``path``."""
     spark = corpus.sparkSession
     path = path or scratch_path(spark, "index")
-    terms = document_terms(corpus)
+    terms = document_terms(spread(corpus))
     terms.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(
         f"{path}/postings"
     )
@@ -157,14 +155,9 @@ def open_index(spark: SparkSession, path: str, corpus: DataFrame) -> Index:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, repeats, content): every query token, and whether it carries meaning."""
-    body = queries.select(
-        "query_id", F.explode(tokens(F.col("question"))).alias("term"),
-        content_terms(F.col("question")).alias("content_terms"),
-    )
-    return body.withColumn(
-        "content", F.array_contains("content_terms", F.col("term"))
-    ).groupBy("query_id", "term").agg(
-        F.count("*").alias("repeats"), F.bool_or("content").alias("content")
+    words = queries.select("query_id", F.explode(raw_tokens(F.col("question"))).alias("w"))
+    return words.groupBy("query_id", fold(F.col("w")).alias("term")).agg(
+        F.count("*").alias("repeats"), F.bool_or(is_content(F.col("w"))).alias("content")
     )
 
 
@@ -178,7 +171,7 @@ def score_pairs(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, ordinal, bm25, matched) for passages sharing a token with the query.
 
     Asked terms (bounded by the query batch, size-checked) filter the postings at the scan; the
-    survivors are placed by passage once and both aggregation steps stay on that partitioning.
+    survivors combine to (query, passage) sums inside each task before the one exchange.
     """
     asked = query_terms(queries)
     weights = asked.join(index.vocab.select("term", "idf"), "term")

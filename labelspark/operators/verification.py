@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelspark.functions import text as T
 from labelspark.operators import matching, retrieval, standards
+from labelspark.session import spread
 
 UNREADABLE_TEXT = "No label text to verify — please paste the label text first."
 
@@ -19,7 +20,7 @@ def reverify_texts(
 
     Stored confidence carries over. Texts too short to read get ``error`` and no fields.
     """
-    joined = texts.join(claims, key)
+    joined = spread(texts).join(claims, key)
     recognised = None
     if dictionary is not None:
         joined = standards.with_recognition(joined, dictionary, "class_type")

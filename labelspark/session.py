@@ -52,6 +52,16 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) ->
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for CPU-heavy rows held in a few small files.
+
+    Inputs already cut into at least one partition per core come back unchanged, so large
+    tables gain no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers (once per application)."""
     import shutil

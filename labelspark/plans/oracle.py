@@ -1125,8 +1125,36 @@ def sweep_statements() -> dict[str, str]:
 
     refuse = points({"min_coverage": V.MIN_COVERAGE_GRID, "min_dense_sim": V.MIN_DENSE_SIM_GRID})
     cuts = points({"brand_cut": [80.0, 90.0, 95.0], "read_cut": [45.0, 55.0]})
+    rules = points(S.ABLATION_GRID)
     rank = "row_number() OVER (ORDER BY feasible DESC, score DESC, params DESC) AS rank"
     return {
+        "evl14_rule_ablation": f"""WITH {JOINED}, {best_line_ctes('br', 'brand')},
+{candidate_ctes()}, {window_ctes()}, {EXPECTED},
+bp AS (SELECT n.id, max(c.ratio) AS plain, max(c.best) AS best FROM br_norm n
+  JOIN br_score c ON c.a = n.a AND c.b = n.b GROUP BY n.id),
+cl AS (SELECT id, TRY_CAST(nullif(regexp_extract(alcohol_content, '{NUM}'), '') AS DOUBLE) AS claimed
+  FROM src),
+stc AS (SELECT s.id, count(*) AS n, bool_or(abs(value - claimed) <= 0.05) AS near,
+  bool_or(abs(value - claimed) <= 0.05) FILTER (grp > 1) AS near_stated
+  FROM stated s JOIN cl ON cl.id = s.id GROUP BY s.id),
+pcc AS (SELECT p.id, bool_or(abs(raw::DOUBLE - claimed) <= 0.05) AS near FROM pct_hit p
+  JOIN cl ON cl.id = p.id GROUP BY p.id),
+sg AS (SELECT s.id, t.exp_brand, t.exp_alcohol, t.exp_warning,
+  coalesce(b.best >= 95, false) AS bw, coalesce(b.plain >= 95, false) AS bpl,
+  coalesce(v.sim >= 99 AND contains(w.norm, '{HEADER}'), false) AS wc,
+  coalesce(v.sim >= 99 AND v.complete, false) AS wwords,
+  coalesce(stc.n, 0) > 0 AS has_ctx, coalesce(stc.near, false) AS ctx,
+  coalesce(pcc.near, false) AS bare,
+  coalesce(pcc.near, false) OR coalesce(stc.near_stated, false) AS anyhow
+  FROM src s JOIN truth t ON t.filename = s.filename LEFT JOIN bp b ON b.id = s.id
+  JOIN win w ON w.id = s.id LEFT JOIN wsim v ON v.w = w.w LEFT JOIN stc ON stc.id = s.id
+  LEFT JOIN pcc ON pcc.id = s.id),
+ev AS (SELECT params, (CASE WHEN windows THEN bw ELSE bpl END) = exp_brand
+    AND (CASE WHEN context THEN CASE WHEN has_ctx THEN ctx ELSE fallback AND bare END
+      ELSE anyhow END) = exp_alcohol
+    AND (wc AND (NOT words OR wwords)) = exp_warning AS hit FROM sg, {rules}),
+pt AS (SELECT params, count(*) FILTER (hit) AS right_cases, count(*) AS cases FROM ev GROUP BY params)
+SELECT *, row_number() OVER (ORDER BY right_cases DESC, params DESC) AS rank FROM pt""",
         "evl13_refuse_sweep": f"""WITH {SCOPED},
 sg AS (SELECT *, query_id % 4 = 0 AS probe, query_id NOT IN (SELECT query_id FROM oov) AS faithful
   FROM tp),

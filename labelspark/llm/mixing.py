@@ -142,7 +142,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     )
 
     slots = _slots(spark, np.array(quotas, dtype=np.int64), np.array(blocks, dtype=np.int64), shard_slots, seed)
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # The planner takes the slots for as few as the shards they come from, so the join says how.
+    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
     taken = (
         pieces.join(times, ["source_no", "block"], "left")
         .groupBy("source_no", "bucket", "nth", "doc_id", "source", "size", "source_size", "target")

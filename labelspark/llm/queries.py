@@ -1,4 +1,4 @@
 """Collects the registered queries of the text operators and their SQL."""
 
-from labelspark.llm import mixing, ngram_join, url_rules  # noqa: F401
+from labelspark.llm import mixing, ngram_join, quality, url_rules  # noqa: F401
 from labelspark.llm.common import REGISTRY, SQL  # noqa: F401

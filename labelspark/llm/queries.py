@@ -1,4 +1,6 @@
 """Collects the registered queries of the text operators and their SQL."""
 
-from labelspark.llm import mixing, ngram_join, quality, severity, url_rules  # noqa: F401
+from labelspark.llm import (  # noqa: F401
+    decontaminate, mixing, ngram_join, quality, severity, url_rules,
+)
 from labelspark.llm.common import REGISTRY, SQL  # noqa: F401

@@ -36,7 +36,7 @@ def features(text: str | None) -> set[str]:
 
 
 def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, n_grades: int,
-                ridge: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+                ridge: float = 5e-5, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of P(grade > k) = sigmoid(w.x - theta_k), by Adam on the whole sample.
 
     The thresholds stay ordered, as each is the one before plus a positive step.

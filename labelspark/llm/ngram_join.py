@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelspark.llm.common import components, mixed, query, table, text_blocks, windows, word_hashes
@@ -127,12 +127,12 @@ def _indexed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
 
 
-def _possible(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
-    """Whether two sets that share the tokens at these positions can still reach the similarity."""
-    most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
+def _possible(x: tuple[Column, Column], y: tuple[Column, Column], percent: int) -> Column:
+    """Whether two sets can link if this is the first token they share; sides are (size, reach)."""
+    (n1, r1), (n2, r2) = x, y
     return (
         (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
-        & ((100 + percent) * most >= percent * (n1 + n2))
+        & ((100 + percent) * F.least(r1, r2) >= percent * (n1 + n2))
     )
 
 
@@ -186,19 +186,32 @@ def near_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         indexed.where("n > 0").select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
         .select("token", "sid", F.col("n"), F.col("pos").cast("long").alias("pos"))
     )
-    order = F.col("pos") * (1 << 40) + F.shiftrightunsigned("sid", 24)
-    lists = entries.groupBy("token").agg(
-        F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min_by("sid", order).alias("hub"),
-        F.min_by("n", order).alias("hub_n"), F.min_by("pos", order).alias("hub_pos"),
-    ).where("lo <> hi").drop("lo", "hi")
-    listed = materialize(entries.join(lists, "token").distinct(), "lists")
+    lists = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
+    shared = materialize(entries.join(lists.select("token"), "token").distinct(), "lists")
+    # Skipping by position. Prefix tokens that no other set holds can't be shared, nor can those
+    # before the first token shared: `reach` bounds the intersections that begin at this token. A
+    # link survives at its own first token, so rows that can't begin one go.
+    prefix = F.col("n") - F.ceil(F.expr(f"{percent} * n / 100D")).cast("long") + 1
+    own = Window.partitionBy("sid")
+    listed = materialize(
+        shared.withColumn("most", F.col("n") - prefix + F.count("*").over(own))
+        .withColumn("reach", F.col("most") - F.row_number().over(own.orderBy("pos")) + 1)
+        .where(f"100 * reach >= {percent} * n").select("token", "sid", "n", "most", "reach"), "listed",
+    )
+    # The hub of a list: the set with the fewest tokens of its own, then the longest reach.
+    hubs = listed.groupBy("token").agg(F.min(F.struct(
+        (F.col("n") - F.col("most")).alias("own"), (F.col("n") - F.col("reach")).alias("far"), "sid", "n", "reach",
+    )).alias("hub"))
 
     def ordered(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    near_hub = listed.where(F.col("sid") != F.col("hub")).where(
-        _possible(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent)
+    with_hub = listed.join(hubs, "token").select(
+        "token", "sid", "n", "reach", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"),
+        F.col("hub.reach").alias("hub_reach"),
     )
+    near_hub = with_hub.where(F.col("sid") != F.col("hub")).where(
+        _possible((F.col("n"), F.col("reach")), (F.col("hub_n"), F.col("hub_reach")), percent))
     first = materialize(near_hub.select(*ordered("sid", "hub")).distinct(), "pairs")
     known = materialize(_verified(first, docs, indexed, k), "verified")
     linked = F.expr(f"100 * shared >= {percent} * total")
@@ -209,7 +222,7 @@ def near_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     away = known.select("a", "b", (1 - F.col("shared") / F.col("total")).alias("away"))
     # Without a distance to the hub (the sizes rule it out), a block's bounds stay open.
     blocks_of = (
-        listed.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left")
+        with_hub.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left")
         .withColumn("component", F.coalesce("component", "sid"))
         .withColumns({"a": F.least("sid", "hub"), "b": F.greatest("sid", "hub")})
         .join(away, ["a", "b"], "left")
@@ -224,25 +237,26 @@ def near_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     blocks = open_rows.groupBy("token", "component").agg(
         F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
         F.coalesce(F.min(F.coalesce("away", F.lit(0.0))), F.lit(0.0)).alias("d_lo"),
-        F.max(F.coalesce("away", F.lit(1.0))).alias("d_hi"),
+        F.max(F.coalesce("away", F.lit(1.0))).alias("d_hi"), F.max("reach").alias("r_hi"),
     )
     one = blocks.select("token", *[F.col(c).alias(f"{c}_1") for c in blocks.columns[1:]])
     two = blocks.select("token", *[F.col(c).alias(f"{c}_2") for c in blocks.columns[1:]])
     reach = 1 - percent / 100 + 1e-9
     pairs_of_blocks = one.join(two, "token").where("component_1 < component_2").where(
         f"100 * n_hi_1 >= {percent} * n_lo_2 and 100 * n_hi_2 >= {percent} * n_lo_1 "
+        f"and {100 + percent} * least(r_hi_1, r_hi_2) >= {percent} * (n_lo_1 + n_lo_2) "
         f"and d_lo_1 - d_hi_2 <= {reach} and d_lo_2 - d_hi_1 <= {reach}"
     ).select("token", "component_1", "component_2")
 
     def side(i: int) -> DataFrame:
-        own = ["sid", "n", "pos", "away"]
+        own = ["sid", "n", "reach", "away"]
         return open_rows.where(F.col("sid") != F.col("hub")).select(
             "token", F.col("component").alias(f"component_{i}"), *[F.col(c).alias(f"{c}_{i}") for c in own]
         )
 
     second = (
         pairs_of_blocks.join(side(1), ["token", "component_1"]).join(side(2), ["token", "component_2"])
-        .where(_possible(F.col("n_1"), F.col("pos_1"), F.col("n_2"), F.col("pos_2"), percent))
+        .where(_possible(*[tuple(F.col(f"{c}_{i}") for c in ("n", "reach")) for i in (1, 2)], percent))
         .where(F.coalesce(F.abs(F.col("away_1") - F.col("away_2")) <= reach, F.lit(True)))
         .select(*ordered("sid_1", "sid_2")).distinct().join(first, ["a", "b"], "left_anti")
     )

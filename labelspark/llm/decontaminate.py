@@ -29,6 +29,9 @@ CLASS_RATIO = 1.2
 #: Sampled steps in a key, tables added at a time, and the most tables.
 BITS, STEP_TABLES, MOST_TABLES = 4, 8, 96
 
+#: Cells that mark neighbouring words of items; a shared cell only lets a window through.
+PAIR_CELLS_LOG2 = 22
+
 HITS = "doc_id string, item_id string, first_char long, end_char long, words long, edits long"
 
 
@@ -99,6 +102,7 @@ class Searcher:
 
     items: list[tuple[str, np.ndarray]]
     vocabulary: dict[str, int]
+    neighbours: np.ndarray  # cells of pairs of words that follow each other in an item
     classes: list[dict] = field(default_factory=list)
 
 
@@ -106,7 +110,10 @@ def build(items: list[tuple[str, list[str]]], share: float, recall: float, seed:
     """Tables until probes, items edited as far as allowed, are found at the rate ``recall``."""
     vocabulary: dict[str, int] = {}
     held = [(i, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], dtype=np.int64)) for i, ws in items]
-    made = Searcher(held, vocabulary)
+    neighbours = np.zeros(1 << PAIR_CELLS_LOG2, dtype=bool)
+    for _, own in held:
+        neighbours[_pair_cells(own)] = True
+    made = Searcher(held, vocabulary, neighbours)
     rng = np.random.default_rng(seed)
     order = sorted(range(len(held)), key=lambda i: len(held[i][1]))
     while order:
@@ -141,6 +148,13 @@ def build(items: list[tuple[str, list[str]]], share: float, recall: float, seed:
     return made
 
 
+def _pair_cells(words: np.ndarray) -> np.ndarray:
+    """The cell of each word and the next."""
+    with np.errstate(over="ignore"):
+        made = words[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words[1:].astype(np.uint64)
+        return (made * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - PAIR_CELLS_LOG2)
+
+
 def _laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = [len(t) for t in texts]
     return np.concatenate(texts), np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -172,14 +186,20 @@ def search(searcher: Searcher, texts: list[str | None], share: float) -> list[tu
     for r, b in zip(rows, begins):
         words[b : b + len(r)] = r
     familiar = np.concatenate([[0], np.cumsum(words > 0)])
+    adjoining = np.concatenate([[0], np.cumsum(
+        searcher.neighbours[_pair_cells(words)] & (words[:-1] > 0) & (words[1:] > 0))])
     pairs: set[tuple[int, int]] = set()
     for group in searcher.classes:
         size = group["size"]
         n = len(words) - size
         if n <= 0:
             continue
-        # At most `most` words of a window that matches can be foreign to the items.
-        starts = np.flatnonzero(familiar[size : size + n] - familiar[:n] >= max(1, size - group["most"]))
+        # In a window that matches, an edit can bring one word that is foreign to the items, and part two
+        # neighbours of an item.
+        starts = np.flatnonzero(
+            (familiar[size : size + n] - familiar[:n] >= max(1, size - group["most"]))
+            & (adjoining[size - 1 : size - 1 + n] - adjoining[:n] >= size - 1 - 2 * group["most"])
+        )
         for walk_seed, steps, picks, maps in group["tables"]:
             if not len(starts):
                 break
@@ -200,6 +220,12 @@ def search(searcher: Searcher, texts: list[str | None], share: float) -> list[tu
         for lo in range(0, len(found), 4096):
             at = np.maximum(np.array(found[lo : lo + 4096]) - allowed, 0)
             regions = words[np.minimum(at[:, None] + np.arange(reach), len(words) - 1)]
+            member = np.zeros(len(searcher.vocabulary) + 1, dtype=bool)
+            member[own] = True
+            enough = member[regions].sum(axis=1) >= len(own) - allowed
+            at, regions = at[enough], regions[enough]
+            if not len(at):
+                continue
             edits, first, end = best_match(own, regions)
             for i in np.flatnonzero(edits <= allowed):
                 start, stop = int(at[i] + first[i]), int(at[i] + end[i])
@@ -251,7 +277,7 @@ def _task(spark, searcher: Searcher, share: float):
         for frame in frames:
             texts, ids = frame["text"].tolist(), frame["doc_id"].tolist()
             rows = []
-            for lo, hi in text_blocks(texts, 1_000_000):
+            for lo, hi in text_blocks(texts):
                 for text, item, first, end, edits in search(shared.value, texts[lo:hi], share):
                     lowered = texts[lo + text].lower()
                     at = [m.span() for m in TOKEN.finditer(lowered)][first:end]

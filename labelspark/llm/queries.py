@@ -1,6 +1,6 @@
 """Collects the registered queries of the text operators and their SQL."""
 
 from labelspark.llm import (  # noqa: F401
-    decontaminate, line_dedup, mixing, ngram_join, passages, quality, severity, surrogates, url_rules,
+    decontaminate, line_dedup, mixing, neighbours, ngram_join, passages, quality, severity, surrogates, url_rules,
 )
 from labelspark.llm.common import REGISTRY, SQL  # noqa: F401

@@ -182,12 +182,18 @@ def near_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     indexed = materialize(_indexed(docs, k, percent), "sets-indexed")
-    entries = (
-        indexed.where("n > 0").select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
-        .select("token", "sid", F.col("n"), F.col("pos").cast("long").alias("pos"))
+    # One row stands for each set, so that a token's count is the number of sets that hold it.
+    copies = materialize(
+        indexed.where("n > 0").groupBy("sid").agg(F.min("row_key").alias("first"), F.count("*").alias("rows"))
+        .where("rows > 1").select("sid", "first"), "copies",
     )
-    lists = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
-    shared = materialize(entries.join(lists.select("token"), "token").distinct(), "lists")
+    if copies.count() <= BROADCAST_KEYS:
+        copies = F.broadcast(copies)
+    standing = indexed.where("n > 0").join(copies, "sid", "left").where("first is null or first = row_key")
+    entries = standing.select("sid", F.explode("prefix").alias("token"))
+    lists = entries.groupBy("token").count().where("count > 1").select("token")
+    sizes = indexed.select("sid", "n").distinct()
+    shared = materialize(entries.join(lists, "token").distinct().join(sizes, "sid"), "lists")
     # Skipping by position. Prefix tokens that no other set holds can't be shared, nor can those
     # before the first token shared: `reach` bounds the intersections that begin at this token. A
     # link survives at its own first token, so rows that can't begin one go.
@@ -195,7 +201,7 @@ def near_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     own = Window.partitionBy("sid")
     listed = materialize(
         shared.withColumn("most", F.col("n") - prefix + F.count("*").over(own))
-        .withColumn("reach", F.col("most") - F.row_number().over(own.orderBy("pos")) + 1)
+        .withColumn("reach", F.col("most") - F.row_number().over(own.orderBy("token")) + 1)
         .where(f"100 * reach >= {percent} * n").select("token", "sid", "n", "most", "reach"), "listed",
     )
     # The hub of a list: the set with the fewest tokens of its own, then the longest reach.
@@ -235,6 +241,7 @@ def near_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     )
     open_rows = materialize(blocks_of.join(mixed_lists, "token"), "open")
     blocks = open_rows.groupBy("token", "component").agg(
+        F.count("*").alias("rows"),
         F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
         F.coalesce(F.min(F.coalesce("away", F.lit(0.0))), F.lit(0.0)).alias("d_lo"),
         F.max(F.coalesce("away", F.lit(1.0))).alias("d_hi"), F.max("reach").alias("r_hi"),
@@ -242,7 +249,9 @@ def near_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     one = blocks.select("token", *[F.col(c).alias(f"{c}_1") for c in blocks.columns[1:]])
     two = blocks.select("token", *[F.col(c).alias(f"{c}_2") for c in blocks.columns[1:]])
     reach = 1 - percent / 100 + 1e-9
-    pairs_of_blocks = one.join(two, "token").where("component_1 < component_2").where(
+    # The smaller block comes first: its rows are met before the larger one's.
+    pairs_of_blocks = one.join(two, "token").where(
+        "rows_1 < rows_2 or rows_1 = rows_2 and component_1 < component_2").where(
         f"100 * n_hi_1 >= {percent} * n_lo_2 and 100 * n_hi_2 >= {percent} * n_lo_1 "
         f"and {100 + percent} * least(r_hi_1, r_hi_2) >= {percent} * (n_lo_1 + n_lo_2) "
         f"and d_lo_1 - d_hi_2 <= {reach} and d_lo_2 - d_hi_1 <= {reach}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelspark.session import materialize, ship_package
@@ -50,6 +50,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def broadcast_up_to(rows: int, frame: DataFrame) -> DataFrame:
+    """``frame`` written out, with a broadcast hint if it has at most so many rows.
+
+    Callers state what a row takes; beyond the bound the planner joins by shuffle.
+    """
+    made = materialize(frame, "bounded")
+    return F.broadcast(made) if made.count() <= rows else made.hint("merge")
+
+
+def numbered(docs: DataFrame, prefix: str) -> DataFrame:
+    """``docs`` with ``{prefix}key``, a hash of doc_id and text, and ``{prefix}nth`` among equal rows.
+
+    Only repeated rows, if there are any, are ordered; all others are number 1 without a shuffle.
+    """
+    key, nth = f"{prefix}key", f"{prefix}nth"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    again = keyed.groupBy(key).count().where("count > 1").select(key)
+    again = materialize(again, "again")
+    if again.isEmpty():
+        return keyed.withColumn(nth, F.lit(1))
+    again = broadcast_up_to(SMALL_TABLE_ROWS, again)
+    ranked = keyed.join(again, key).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
+    return keyed.join(again, key, "left_anti").withColumn(nth, F.lit(1)).unionByName(ranked)
+
+
 # --- hashes in numpy ----------------------------------------------------------------------
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -66,11 +91,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(30))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+    """The first n powers; the longest table of up to two million is kept."""
+    held = _POWERS.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(n, base, dtype=np.uint64)
+        held[0] = 1
+        with np.errstate(over="ignore"):
+            held = np.multiply.accumulate(held)
+        if n <= 2_000_000:
+            _POWERS[int(base)] = held
+    return held[:n]
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +120,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    del upper, space
     lengths = np.array([len(p) + 1 for p in parts], dtype=np.int64)
     begins = np.concatenate([[1], 1 + np.cumsum(lengths)])
     offsets = np.searchsorted(starts, begins)
@@ -96,7 +131,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return mixed(raw + (ends - starts).astype(np.uint64) * _ODD), offsets
 
 
-def text_blocks(texts: list[str | None], limit: int = 4_000_000):
+def text_blocks(texts: list[str | None], limit: int = 1_000_000):
     """Index ranges of consecutive texts holding about ``limit`` characters; memory stays bounded."""
     start, held = 0, 0
     for i, t in enumerate(texts):

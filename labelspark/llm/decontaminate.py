@@ -19,13 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.llm.common import mixed, query, table, text_blocks
+from labelspark.llm.common import broadcast_up_to, mixed, query, table, text_blocks
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Characters of benchmark text that one block of items holds at most, about.
 BLOCK_CHARS = 16_000_000
 #: Lengths within this ratio share a window size.
 CLASS_RATIO = 1.2
+#: Hashes of contaminated documents that may be broadcast (8 bytes a row).
+BROADCAST_KEYS = 1_000_000
 #: Sampled steps in a key, tables added at a time, and the most tables.
 BITS, STEP_TABLES, MOST_TABLES = 4, 8, 96
 
@@ -277,7 +279,7 @@ def _task(spark, searcher: Searcher, share: float):
         for frame in frames:
             texts, ids = frame["text"].tolist(), frame["doc_id"].tolist()
             rows = []
-            for lo, hi in text_blocks(texts):
+            for lo, hi in text_blocks(texts, 4_000_000):
                 for text, item, first, end, edits in search(shared.value, texts[lo:hi], share):
                     lowered = texts[lo + text].lower()
                     at = [m.span() for m in TOKEN.finditer(lowered)][first:end]
@@ -295,9 +297,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     Rows are told apart by doc_id and text, so of two texts under one doc_id only the one that holds
     a passage goes.
     """
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    bad = find_items(keyed, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_bad"), "left_anti")
+    mine = "_decontaminate_key"
+    keyed = docs.withColumn(mine, F.xxhash64("doc_id", "text"))
+    bad = find_items(keyed.select(F.col(mine).alias("doc_id"), "text"), benchmark, **options)
+    bad = broadcast_up_to(BROADCAST_KEYS, bad.select(F.col("doc_id").alias(mine)).distinct())
+    return keyed.join(bad, mine, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op5_decontamination")

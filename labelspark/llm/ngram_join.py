@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelspark.llm.common import components, mixed, query, table, text_blocks, windows, word_hashes
+from labelspark.llm.common import (
+    broadcast_up_to, components, mixed, numbered, query, table, text_blocks, windows, word_hashes,
+)
 from labelspark.session import materialize
 
 #: Cells of the shingle count table and rows it is sent in. Its size is fixed, whatever the corpus.
@@ -122,9 +124,11 @@ def _indexed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 "prefix": prefixes,
             })
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text").mapInPandas(
-        index, "row_key long, doc_id long, n long, sid long, prefix array<long>"
-    )
+    # Ids travel as text: pandas has no whole numbers beside nulls.
+    made = docs.select(
+        F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("string"), "text"
+    ).mapInPandas(index, "row_key long, doc_id string, n long, sid long, prefix array<long>")
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def _possible(x: tuple[Column, Column], y: tuple[Column, Column], percent: int) -> Column:
@@ -139,12 +143,8 @@ def _possible(x: tuple[Column, Column], y: tuple[Column, Column], percent: int)
 def _verified(pairs: DataFrame, docs: DataFrame, indexed: DataFrame, k: int) -> DataFrame:
     """Exact intersections of the sets of ``pairs`` (a, b): (a, b, distance, linked columns' counts)."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    keys = materialize(
-        indexed.select("sid", "row_key").join(wanted, "sid").groupBy("sid").agg(F.min("row_key").alias("row_key")),
-        "wanted",
-    )
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
+    keys = broadcast_up_to(BROADCAST_KEYS, indexed.select("sid", "row_key").join(wanted, "sid").groupBy("sid").agg(
+        F.min("row_key").alias("row_key")))
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(keys, "row_key")
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,24 +171,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, indexed: DataFrame, k: int) ->
     )
 
 
-def near_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """Group ``docs`` (doc_id, text) by chains of links; two link at Jaccard ``percent`` / 100 or more.
-
-    One row per document: doc_id, n_shingles (distinct shingles of ``k`` words, A-Z folded; fewer
-    words make one shingle), component_id (the smallest doc_id reachable). Null, empty and blank
-    texts have no shingle, link with nothing and are their own component. Equal sets are one entry
-    of the index, so copies cost one row each; a null doc_id is never the smallest while another is
-    there. Extra columns are ignored. Shingles are compared by 64-bit hashes.
-    """
+def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(row_key, doc_id, n, component) of every row; what has no shingle has no component."""
     docs = docs.select("doc_id", "text")
     indexed = materialize(_indexed(docs, k, percent), "sets-indexed")
     # One row stands for each set, so that a token's count is the number of sets that hold it.
-    copies = materialize(
-        indexed.where("n > 0").groupBy("sid").agg(F.min("row_key").alias("first"), F.count("*").alias("rows"))
-        .where("rows > 1").select("sid", "first"), "copies",
-    )
-    if copies.count() <= BROADCAST_KEYS:
-        copies = F.broadcast(copies)
+    copies = broadcast_up_to(BROADCAST_KEYS, indexed.where("n > 0").groupBy("sid").agg(
+        F.min("row_key").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("sid", "first"))
     standing = indexed.where("n > 0").join(copies, "sid", "left").where("first is null or first = row_key")
     entries = standing.select("sid", F.explode("prefix").alias("token"))
     lists = entries.groupBy("token").count().where("count > 1").select("token")
@@ -280,9 +269,21 @@ def near_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         )
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(joined))
 
-    members = indexed.select("doc_id", "n", "sid").join(
+    return indexed.select("row_key", "doc_id", "n", "sid").join(
         found.select(F.col("node").alias("sid"), "component"), "sid", "left"
-    ).withColumn("component", F.coalesce("component", "sid"))
+    ).select("row_key", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "sid")).alias("component"))
+
+
+def near_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """Group ``docs`` (doc_id, text) by chains of links; two link at Jaccard ``percent`` / 100 or more.
+
+    One row per document: doc_id, n_shingles (distinct shingles of ``k`` words, A-Z folded; fewer
+    words make one shingle), component_id (the smallest doc_id reachable). Null, empty and blank
+    texts have no shingle, link with nothing and are their own component. Equal sets are one entry
+    of the index, so copies cost one row each; a null doc_id is never the smallest while another is
+    there. Extra columns are ignored. Shingles are compared by 64-bit hashes.
+    """
+    members = _members(docs, k, percent)
     smallest = members.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     alone = members.where("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
@@ -292,6 +293,23 @@ def near_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     ).unionByName(alone)
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id (null last, then by hash).
+
+    All columns stay as they are; rows without a shingle all stay.
+    """
+    mine = "_ngram_join_"
+    members = materialize(_members(docs, k, percent).where("n > 0").distinct(), "members")
+    own = F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "row_key")
+    first = members.groupBy("component").agg(F.min(own).alias("first"))
+    gone = members.join(first, "component").where("row_key <> first.row_key").select(
+        F.col("row_key").alias(mine + "key")).distinct()
+    left = numbered(docs, mine).join(broadcast_up_to(BROADCAST_KEYS, gone), mine + "key", "left_anti")
+    # A repeated row is a copy of itself, unless it has no shingle.
+    blank = F.coalesce(F.length(F.translate("text", " \t\n\u000b\f\r", "")), F.lit(0)) == 0
+    return left.where((F.col(mine + "nth") == 1) | blank).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 OP6_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(

@@ -152,9 +152,10 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 "grade": (edges[:, :-1] - edges[:, 1:]).argmax(axis=1), "toxic": (tail[:, 0] >= 0.5).astype(int),
             })
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        grade, f"doc_id {kind}, p_toxic double, severity double, grade int, toxic int")
+    # Ids travel as text: pandas has no whole numbers beside nulls.
+    made = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
+        grade, "doc_id string, p_toxic double, severity double, grade int, toxic int")
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 @query("op4_severity")

@@ -150,7 +150,7 @@ def _fitted(sample: list, tables: Tables, k: int, recall: float) -> int:
     asks = np.arange(0, len(x), max(1, len(x) // FIT_QUERIES))
     row, found, _ = top_of(ids, x, ids[asks], x[asks], k)
     where = {int(i): n for n, i in enumerate(ids)}
-    target = np.array([where[int(i)] for i in found])
+    target = np.array([where[int(i)] for i in found], dtype=np.int64)
     probes, most = 1, 2 * tables.width
     stored, asked = tables.raised(x, True), tables.raised(x[asks], False)
     homes = [tables.buckets(stored, t, 1)[:, 0] for t in range(len(tables.signs))]

@@ -251,7 +251,7 @@ def test_surrogates_keep_type_form_and_identity(spark):
     assert made == again and made[1] != other[1]
     one = re.fullmatch(r"Mr\. (\S+) (\S+) met Mrs\. (\S+), Herr (\S+) (\S+) (\S+), госпожа ([А-я]+) ([А-я]+) and κύριος (\S+) (\S+)", made[1])
     assert one and one[2] == one[3] and f"Mr. {one[2]} paid" in made[2] and one[7][-1] == "а"
-    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}", made[2])
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}", made[2].split(";")[0])
     digits = [re.sub(r"\D", "", c) for c in cards]
     assert len(cards) == 2 and digits[0] == digits[1] != "4111111111111111"
     total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits[0])))

@@ -20,6 +20,9 @@ OPTIONAL_CLAIM_COLUMNS = ["net_contents", "class_type"]
 # Accepted label image extensions and archive limits.
 IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".webp", ".gif", ".bmp", ".tif", ".tiff"]
 CASE_IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg"]
+MSG_FILE_LARGE = "too large — 10 MB max per file"
+MSG_THREAD_FULL = "this chat has reached its 50 MB upload limit"
+MSG_FILE_UNSIZED = "the file's size is not known"
 MAX_ARCHIVE_FILES = 25
 MAX_MEMBER_BYTES = 10 * 1024 * 1024
 MAX_ARCHIVE_BYTES = 50 * 1024 * 1024

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from labelspark import fixed_values as V
 from labelspark.functions import text as T
 from labelspark.operators import matching, standards
-from labelspark.session import broadcast_if_bounded, spread
 
 CLAIM_FIELDS = ["brand", "alcohol_content", "net_contents", "class_type"]
 EXPORT_FIELDS = ["brand", "alcohol_content", "government_warning", "net_contents", "class_type"]
@@ -45,6 +44,19 @@ def duplicate_keys(claims: DataFrame) -> DataFrame:
     return claims_by_key(claims).filter("copies > 1").select("key", "copies")
 
 
+def label_status() -> Column:
+    """Whether a label has one claim, several or none, from the copies of its key."""
+    return (
+        F.when(F.col("copies").isNull(), "no_application_data")
+        .when(F.col("copies") > 1, "duplicate_application_data")
+        .otherwise("ok")
+    )
+
+
+def why_unmatched() -> Column:
+    return F.when(F.col("join_status") == "no_application_data", V.MSG_NO_CLAIM).otherwise(V.MSG_DUP_WITH_IMAGE)
+
+
 def join_claims(labels: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Label rows with their claim and join status, and claim keys without any label.
 
@@ -53,13 +65,8 @@ def join_claims(labels: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFr
     """
     keyed = claims_by_key(claims)
     labels = labels.withColumn("key", F.lower(T.strip(F.col("filename"))))
-    joined = labels.join(keyed, "key", "left").withColumn(
-        "join_status",
-        F.when(F.col("copies").isNull(), "no_application_data")
-        .when(F.col("copies") > 1, "duplicate_application_data")
-        .otherwise("ok"),
-    )
-    alone = keyed.join(labels.select("key").distinct(), "key", "left_anti").withColumn(
+    joined = labels.join(keyed, "key", "left").withColumn("join_status", label_status())
+    alone = keyed.join(labels.select("key"), "key", "left_anti").withColumn(
         "join_status",
         F.when(F.col("copies") > 1, "duplicate_application_data").otherwise("no_image"),
     )
@@ -80,13 +87,13 @@ def verify_batch(
     Columns: section, ordinal, filename, status, message, fields, confidence, needs_review,
     overall_pass. Sort by (section, ordinal, filename) for the report order.
     """
-    joined, alone = join_claims(spread(labels), claims)
+    joined, alone = join_claims(labels, claims)
     recognised = None
     if dictionary is not None:
         resolved = standards.resolved_recognition(
             claims.select(F.coalesce("class_type", F.lit("")).alias("designation")), dictionary
         )
-        resolved = broadcast_if_bounded(resolved.withColumnRenamed("designation", "class_type"))
+        resolved = resolved.withColumnRenamed("designation", "class_type")
         joined = joined.join(resolved, "class_type", "left")
         recognised = "recognition"
     ok = F.col("join_status") == "ok"
@@ -95,9 +102,7 @@ def verify_batch(
         joined.withColumn("text", F.when(ok, F.col("text"))), recognition=recognised
     )
     ordinal = F.col("ordinal") if "ordinal" in labels.columns else F.lit(0)
-    why_not = F.when(F.col("join_status") == "no_application_data", V.MSG_NO_CLAIM).otherwise(
-        V.MSG_DUP_WITH_IMAGE
-    )
+    why_not = why_unmatched()
     done = checked.select(
         F.lit(0).alias("section"),
         ordinal.cast("long").alias("ordinal"),

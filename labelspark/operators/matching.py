@@ -360,6 +360,29 @@ def _bits_ratio(a: Column, b: Column) -> Column:
     return 200.0 * (F.length(a) - F.bit_count(state)) / (F.length(a) + F.length(b))
 
 
+def _shared_ratio(a: Column, b: Column) -> Column:
+    """Native similarity of words of any length, by the longest common subsequence."""
+    letters = F.filter(F.split(a, ""), lambda x: x != "")
+    zeros = F.transform(F.sequence(F.lit(0), F.length(a)), lambda i: F.lit(0))
+
+    def step(row: Column, ch: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.length(a)), F.array(F.lit(0)),
+            lambda done, j: F.array_append(done, F.greatest(
+                F.element_at(done, -1), F.element_at(row, j + 1),
+                F.element_at(row, j) + (F.element_at(letters, j) == ch).cast("int"),
+            )),
+        )
+
+    last = F.aggregate(F.filter(F.split(b, ""), lambda x: x != ""), zeros, step)
+    return 200.0 * F.element_at(last, -1) / (F.length(a) + F.length(b))
+
+
+def word_ratio(a: Column, b: Column) -> Column:
+    """Similarity of two words: by bit masks up to 62 letters on the left, else by rows."""
+    return F.when(F.length(a) <= 62, _bits_ratio(a, b)).otherwise(_shared_ratio(a, b))
+
+
 def official_words_present(window: Column, official: Column | None = None) -> Column:
     """Every official word of three or more letters has a close match in the window.
 
@@ -376,7 +399,7 @@ def official_words_present(window: Column, official: Column | None = None) -> Co
             seen,
             lambda x: (F.least(F.length(w), F.length(x)) * 200.0
                        >= THRESHOLDS.warning_word * (F.length(w) + F.length(x)))
-            & (_bits_ratio(w, x) >= THRESHOLDS.warning_word),
+            & (word_ratio(w, x) >= THRESHOLDS.warning_word),
         ),
     )
 

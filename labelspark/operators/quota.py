@@ -16,8 +16,7 @@ from pyspark.sql import types as T
 
 from labelspark import fixed_values as V
 
-REASON_LARGE = "too large — 10 MB max per file"
-REASON_FULL = "this chat has reached its 50 MB upload limit"
+REASON_LARGE, REASON_FULL, REASON_UNSIZED = V.MSG_FILE_LARGE, V.MSG_THREAD_FULL, V.MSG_FILE_UNSIZED
 
 
 def admit(
@@ -27,9 +26,10 @@ def admit(
     """(…, accepted, used_after, reason) for files with ``thread`` and ``size`` columns.
 
     ``order`` lists the columns giving arrival order inside a thread. Oversize files never
-    change the total, so they are answered in place and skip the ordered pass.
+    change the total, so they are answered in place and skip the ordered pass; so are files
+    without a size, which are refused.
     """
-    large = F.col("size") > max_file
+    large = F.coalesce(F.col("size") > max_file, F.lit(True))
     rest = files.filter(~large).repartition("thread").sortWithinPartitions("thread", *order)
     schema = T.StructType([
         *files.schema.fields, T.StructField("accepted", T.BooleanType()),
@@ -60,7 +60,7 @@ def admit(
     )
     refused = files.filter(large).select(
         "*", F.lit(False).alias("accepted"), F.lit(None).cast("double").alias("used_after"),
-        F.lit(REASON_LARGE).alias("reason"),
+        F.when(F.col("size").isNull(), REASON_UNSIZED).otherwise(REASON_LARGE).alias("reason"),
     )
     return judged.unionByName(refused)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from labelspark import fixed_values as V
 from labelspark.functions import text as T
-from labelspark.session import broadcast_if_bounded, scratch_path, spread
+from labelspark.session import scratch_path
 from labelspark.settings import THRESHOLDS
 
 TOKEN = "[a-z0-9.]+"
@@ -57,10 +57,9 @@ def expand_query(c: Column) -> Column:
     return F.when(F.size(extra) > 0, F.concat(c, F.lit(" "), F.array_join(extra, " "))).otherwise(c)
 
 
-EXEMPT_TERMS = sorted({
-    k[:-1] if len(k) > 3 and k.endswith("s") and not k.endswith("ss") else k
-    for k, _ in V.EXPANSIONS
-})
+def trigger_terms() -> Column:
+    """The expansion triggers as folded terms."""
+    return F.array_distinct(F.transform(F.array(*[F.lit(key) for key, _ in V.EXPANSIONS]), fold))
 
 
 # --- index -------------------------------------------------------------------------------
@@ -123,7 +122,7 @@ def build_index(corpus: DataFrame, path: str | None = None) -> Index:
     """Write the index of (doc_id, ordinal, heading, text, ...) passages to ``path``."""
     spark = corpus.sparkSession
     path = path or scratch_path(spark, "index")
-    terms = document_terms(spread(corpus))
+    terms = document_terms(corpus)
     terms.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(
         f"{path}/postings"
     )
@@ -175,7 +174,6 @@ def score_pairs(index: Index, queries: DataFrame) -> DataFrame:
     """
     asked = query_terms(queries)
     weights = asked.join(index.vocab.select("term", "idf"), "term")
-    weights = broadcast_if_bounded(weights)
     k1, b = V.BM25_K1, V.BM25_B
     length = 1 - b + b * F.col("dl") / F.lit(index.avgdl)
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
@@ -253,12 +251,11 @@ def distinguishing_terms(
     index: Index, queries: DataFrame, max_df: int = 0, exempt: list[str] | None = None
 ) -> DataFrame:
     """(query_id, term): content terms found in at most ``max_df`` passages, minus exempt ones."""
-    exempt = EXEMPT_TERMS if exempt is None else exempt
+    spared = trigger_terms() if exempt is None else F.array(*map(F.lit, exempt)).cast("array<string>")
     asked = queries.select(
         "query_id", F.explode(content_terms(F.col("question"))).alias("term")
     )
-    if exempt:
-        asked = asked.filter(~F.col("term").isin(exempt))
+    asked = asked.filter(~F.array_contains(spared, F.col("term")))
     common = index.vocab.filter(F.col("content_df") > max_df).select("term")
     return asked.join(common, "term", "left_anti").select("query_id", "term")
 

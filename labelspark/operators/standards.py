@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.functions import text as T
-from labelspark.session import broadcast_if_bounded
 
 
 def dictionary_phrases(dictionary: DataFrame) -> DataFrame:
@@ -43,7 +42,6 @@ def resolve_designations(keys: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.first("abv_max").alias("abv_max"),
         F.first("comp_section").alias("comp_section"),
     )
-    lookup = broadcast_if_bounded(lookup)
     keys = keys.select(
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("designation", "beverage_type")]
     ).distinct()
@@ -140,7 +138,7 @@ def with_recognition(
         F.col("designation").alias("_name"), F.col("beverage_type").alias("_kind"),
         F.col("recognition").alias(out),
     )
-    joined = df.join(broadcast_if_bounded(resolved), ["_name", "_kind"], "left")
+    joined = df.join(resolved, ["_name", "_kind"], "left")
     return joined.drop("_name", "_kind")
 
 

@@ -1,43 +1,34 @@
-"""Grid sweeps: every parameter point scored over precomputed signals in one pass.
+"""Grid sweeps: every parameter point is a set of aggregates over the same signals.
 
-The grid is exploded from a literal inside each signal row, then combined per point on the map
-side; signals are computed once, not once per point.
+One pass over the signals serves the whole grid: no row is copied for a point, and a task sends one
+row of partial aggregates however many signals it has read.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelspark import fixed_values as V
-from labelspark.operators import matching, retrieval
 from labelspark.functions import similarity, text as T
+from labelspark.operators import matching, retrieval
 from labelspark.settings import THRESHOLDS
 
+#: An aggregate for one point, given the point's parameters as literals.
+PointAggregate = Callable[[Mapping[str, Column]], Column]
 
-def grid_points(grid: Mapping[str, Sequence]) -> list[dict]:
-    if not grid:
-        return []
-    return [dict(zip(grid, combo)) for combo in itertools.product(*grid.values())]
-
-
-def params_text(params: Mapping) -> str:
-    return ",".join(f"{k}={params[k]}" for k in params)
 
-
-def with_grid(signals: DataFrame, grid: Mapping[str, Sequence]) -> DataFrame:
-    """Signals x grid points, as ``params`` text plus one column per parameter."""
-    points = {params_text(p): p for p in grid_points(grid)}
-    if not points:
-        return signals.withColumn("params", F.lit("")).filter(F.lit(False))
-    rows = F.array(*[
-        F.struct(F.lit(text).alias("params"), *[F.lit(v).alias(k) for k, v in p.items()])
-        for text, p in points.items()
-    ])
-    return signals.select("*", F.explode(rows).alias("_p")).select("*", "_p.*").drop("_p")
+def labelled_points(grid: Mapping[str, Sequence]) -> list[tuple[str, dict]]:
+    """Every point of the grid with its text; parameters vary from the last to the first."""
+    made: list[tuple[str, dict]] = [("", {})] if grid else []
+    for name, values in grid.items():
+        made = [
+            (f"{text},{name}={value}".lstrip(","), {**point, name: value})
+            for text, point in made for value in values
+        ]
+    return made
 
 
 def rank_candidates(candidates: DataFrame, maximize: bool = True) -> DataFrame:
@@ -52,18 +43,30 @@ def rank_candidates(candidates: DataFrame, maximize: bool = True) -> DataFrame:
 
 
 def sweep(
-    signals: DataFrame, grid: Mapping[str, Sequence], score: Column,
-    feasible: Column | None = None, *, maximize: bool = True, detail: list[Column] | None = None,
+    signals: DataFrame, grid: Mapping[str, Sequence], score: PointAggregate,
+    feasible: PointAggregate | None = None, *, maximize: bool = True,
+    detail: Mapping[str, PointAggregate] | None = None,
 ) -> DataFrame:
-    """Rank every grid point by an aggregate ``score`` expression over the signals.
+    """Rank every grid point by an aggregate ``score`` over the signals.
 
-    ``score``, ``feasible`` and ``detail`` are aggregate columns that may use the parameters.
+    ``score``, ``feasible`` and each ``detail`` make an aggregate column from a point's parameters.
+    Without signals there is no candidate.
     """
-    points = with_grid(signals, grid).groupBy("params").agg(
-        score.cast("double").alias("score"),
-        (F.lit(True) if feasible is None else F.first(F.lit(True)) & feasible).alias("feasible"),
-        *(detail or []),
-    )
+    def record(text: str, point: dict) -> Column:
+        own = {name: F.lit(value) for name, value in point.items()}
+        return F.struct(
+            F.lit(text).alias("params"), score(own).cast("double").alias("score"),
+            (F.lit(True) if feasible is None else feasible(own)).alias("feasible"),
+            *[make(own).alias(name) for name, make in (detail or {}).items()],
+        )
+
+    records = [record(text, point) for text, point in labelled_points(grid)]
+    if not records:
+        records = [record("", {})]
+    one = signals.agg(F.count("*").alias("_n"), F.array(*records).alias("_points"))
+    if not grid:
+        one = one.filter(F.lit(False))
+    points = one.filter("_n > 0").select(F.explode("_points").alias("_p")).select("_p.*")
     return rank_candidates(points, maximize)
 
 
@@ -74,24 +77,25 @@ def refuse_threshold_sweep(signals: DataFrame) -> DataFrame:
     :func:`retrieval.retrieval_signals`. A point is feasible when every golden case keeps its
     expected status; the score is the share of probes refused.
     """
-    answered = F.coalesce(
-        retrieval.supported(F.col("min_coverage"), F.col("min_dense_sim")) & F.col("faithful"),
-        F.lit(False),
-    )
-    probe = F.col("is_probe")
-    golden_ok = F.when(F.col("must_refuse"), ~answered).otherwise(answered)
-    probes = F.count_if(probe)
-    refused = F.count_if(probe & ~answered)
+    probe, refuse = F.col("is_probe"), F.col("must_refuse")
+
+    def answered(point: Mapping[str, Column]) -> Column:
+        held = retrieval.supported(point["min_coverage"], point["min_dense_sim"])
+        return F.coalesce(held & F.col("faithful"), F.lit(False))
+
+    def score(point: Mapping[str, Column]) -> Column:
+        probes = F.count_if(probe)
+        return F.when(probes > 0, F.count_if(probe & ~answered(point)) / probes).otherwise(1.0)
+
     return sweep(
         signals,
         {"min_coverage": V.MIN_COVERAGE_GRID, "min_dense_sim": V.MIN_DENSE_SIM_GRID},
-        F.when(probes > 0, refused / probes).otherwise(1.0),
-        F.bool_and(probe | golden_ok),
-        detail=[
-            F.count_if(~probe & ~F.col("must_refuse") & answered).alias("golden_answered"),
-            F.count_if(~probe & F.col("must_refuse") & ~answered).alias("golden_refused"),
-            refused.alias("probe_refused"),
-        ],
+        score, lambda point: F.bool_and(probe | (answered(point) != refuse)),
+        detail={
+            "golden_answered": lambda point: F.count_if(~probe & ~refuse & answered(point)),
+            "golden_refused": lambda point: F.count_if(~probe & refuse & ~answered(point)),
+            "probe_refused": lambda point: F.count_if(probe & ~answered(point)),
+        },
     )
 
 
@@ -144,21 +148,27 @@ def ablation_signals(labels: DataFrame) -> DataFrame:
 
 
 def ablation(signals: DataFrame) -> DataFrame:
-    """Accuracy of every on/off combination of four matcher rules, best first.
+    """Accuracy of every on/off combination of four matcher rules, best first."""
+    def right(rules: Mapping[str, Column]) -> Column:
+        brand = F.when(rules["windows"], F.col("brand_windows")).otherwise(F.col("brand_plain"))
+        warn = F.col("warn_chars") & (~rules["words"] | F.col("warn_words"))
+        with_context = F.when(F.col("abv_has_context"), F.col("abv_context")).otherwise(
+            rules["fallback"] & F.col("abv_bare")
+        )
+        abv = F.when(rules["context"], with_context).otherwise(F.col("abv_any"))
+        return (
+            (brand == F.col("exp_brand")) & (abv == F.col("exp_alcohol"))
+            & (warn == F.col("exp_warning"))
+        )
 
-    ``clean_ok`` marks combinations that lose no compliant case against all rules on.
-    """
-    brand = F.when(F.col("windows"), F.col("brand_windows")).otherwise(F.col("brand_plain"))
-    warn = F.col("warn_chars") & (~F.col("words") | F.col("warn_words"))
-    with_context = F.when(F.col("abv_has_context"), F.col("abv_context")).otherwise(
-        F.col("fallback") & F.col("abv_bare")
-    )
-    abv = F.when(F.col("context"), with_context).otherwise(F.col("abv_any"))
-    right = (
-        (brand == F.col("exp_brand")) & (abv == F.col("exp_alcohol"))
-        & (warn == F.col("exp_warning"))
-    )
+    # Eleven flags have few combinations: they are counted before any rule is applied.
+    combined = signals.groupBy(*signals.columns).agg(F.count("*").alias("_rows"))
+    rows = F.col("_rows")
     return sweep(
-        signals, ABLATION_GRID, F.avg(right.cast("int")),
-        detail=[F.count_if(right).alias("right_cases"), F.count("*").alias("cases")],
+        combined, ABLATION_GRID,
+        lambda rules: F.sum(F.when(right(rules), rows).otherwise(0)) / F.sum(rows),
+        detail={
+            "right_cases": lambda rules: F.sum(F.when(right(rules), rows).otherwise(0)),
+            "cases": lambda rules: F.sum(rows),
+        },
     )

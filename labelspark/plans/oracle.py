@@ -1121,7 +1121,7 @@ def sweep_statements() -> dict[str, str]:
     from labelspark.operators import sweep as S
 
     def points(grid):
-        return _grid([(S.params_text(p), p) for p in S.grid_points(grid)])
+        return _grid(S.labelled_points(grid))
 
     refuse = points({"min_coverage": V.MIN_COVERAGE_GRID, "min_dense_sim": V.MIN_DENSE_SIM_GRID})
     cuts = points({"brand_cut": [80.0, 90.0, 95.0], "read_cut": [45.0, 55.0]})
@@ -1297,6 +1297,9 @@ SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN -1 ELSE conv_id % 5 END AS fai
 
 # --- sources and streams -----------------------------------------------------------------
 
+ORACLE["src02_label_files"] = """
+SELECT ((doc_id % 50) + 50) % 50 AS bucket, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes
+FROM documents GROUP BY 1"""
 ORACLE["src01_claims_csv"] = f"""WITH {CLA}
 SELECT lower(trim(filename)) AS filename, brand, alcohol_content, net_contents, '' AS class_type
 FROM cla"""
@@ -1339,7 +1342,7 @@ SELECT concat('p', p_partkey) AS name, concat('p', p_partkey, '.JPG') AS image,
   CASE WHEN p_partkey % 3 = 0 THEN '5.0' ELSE CAST(p_size AS VARCHAR) END AS alcohol_content,
   p_partkey % 4 <> 0 AS exp_brand, true AS exp_alcohol, p_partkey % 4 <> 0 AS exp_warning
 FROM part WHERE p_partkey % 5 <> 0"""
-ORACLE["str04_verify_stream"] = f"WITH {verify_ctes(RAW_BATCH)} SELECT filename, status FROM verified"
+ORACLE["str04_verify_stream"] = batch_sql("SELECT filename, status FROM rows_all WHERE ordinal >= 0")
 _first_finish = finish
 
 

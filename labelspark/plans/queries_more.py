@@ -271,7 +271,7 @@ def jn10(spark, sf):
 
 @query("udf02_embedder")
 def udf02(spark, sf):
-    made = dense.embed(D.table(spark, sf, "documents"), "text", dense.hashed_bag_of_words())
+    made = dense.embed(D.table(spark, sf, "documents"), "text", dense.word_slots())
     return made.select("doc_id", F.aggregate(
         "embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("tokens"))
 
@@ -280,7 +280,7 @@ def udf02(spark, sf):
 def snk04(spark, sf):
     corpus = D.corpus(spark, sf)
     path = scratch_path(spark, "vectors")
-    encode = dense.hashed_bag_of_words(32)
+    encode = dense.word_slots(32)
     dense.persist_vectors(corpus, path, "hashed-32", encode)
     again = dense.persist_vectors(corpus, path, "hashed-32", encode)
     return again.select("doc_id", F.aggregate(
@@ -543,12 +543,12 @@ def evl12(spark, sf):
         ), {"b": "brand"}, "text",
     ).join(D.expected(spark, sf), "filename")
     signals = best.select("confidence", F.col("b.score").alias("brand_score"), "exp_brand")
-    said = F.col("brand_score") >= F.col("brand_cut")
-    kept = F.col("confidence") >= F.col("read_cut")
+    said = lambda cuts: F.col("brand_score") >= cuts["brand_cut"]
+    kept = lambda cuts: F.col("confidence") >= cuts["read_cut"]
     out = sweep.sweep(
         signals, {"brand_cut": [80.0, 90.0, 95.0], "read_cut": [45.0, 55.0]},
-        F.avg((said == F.col("exp_brand")).cast("int")),
-        F.count_if(kept & said & ~F.col("exp_brand")) == 0,
+        lambda cuts: F.avg((said(cuts) == F.col("exp_brand")).cast("int")),
+        lambda cuts: F.count_if(kept(cuts) & said(cuts) & ~F.col("exp_brand")) == 0,
     )
     return out.select("params", F.col("rank").cast("long").alias("rank"),
                       F.round("score", 6).alias("score"), "feasible")
@@ -801,14 +801,25 @@ def src01(spark, sf):
         F.concat(F.lit(" "), F.col("alcohol_content")).alias("ALCOHOL_CONTENT"),
         F.col("net_contents").alias("net_contents"),
     )
-    raw.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
-        "ignoreTrailingWhiteSpace", False).csv(path)
-    return files.read_claims_csv(spark, path)
+    # Two kinds of file in one folder, with their columns in another order.
+    for part, columns in enumerate([raw.columns, raw.columns[::-1]]):
+        raw.filter(F.length("Brand") % 2 == part).select(*[F.col(f"`{c}`") for c in columns]).write.mode(
+            "append").option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(path)
+    return files.read_claims_csv(spark, path).drop("row_number")
 
 
 @query("src02_label_files")
 def src02(spark, sf):
-    return files.scan_label_files(spark, sf, [".parquet"]).select("filename", "length")
+    """Label files, one for each group of documents, written in folders and listed again."""
+    path = scratch_path(spark, "label-files")
+    D.table(spark, sf, "documents").select(
+        F.coalesce("text", F.lit("")).alias("value"), F.pmod("doc_id", F.lit(50)).alias("bucket")
+    ).repartition("bucket").write.partitionBy("bucket").option("compression", "none").option("lineSep", "\n").text(path)
+    listed = files.scan_label_files(spark, path, [".txt"])
+    folder = F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("long")
+    return listed.groupBy(folder.alias("bucket")).agg(F.sum("length").alias("bytes"))
+
 
 
 def _archives(spark, sf):
@@ -986,7 +997,7 @@ def str03(spark, sf):
 def str04(spark, sf):
     path = scratch_path(spark, "unique-claims")
     standards.with_recognition(
-        batch.unique_claims(D.claims(spark, sf)), docs.default_designations(spark), "class_type"
+        batch.claims_by_key(D.claims(spark, sf)), docs.default_designations(spark), "class_type"
     ).write.parquet(path)
     labels = _as_stream(spark, D.labels(spark, sf), "labels-in")
     done = jobs.verify_stream(labels, spark.read.parquet(path))

@@ -1,4 +1,4 @@
-"""Session helpers: shared folders and size-checked broadcasts."""
+"""Session helpers: shared folders and the package for the workers."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from labelspark.settings import BROADCAST_ROW_LIMIT
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,27 +38,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the side is small.
-
-    The count stops at ``max_rows + 1`` rows. Beyond it the frame comes back unhinted and the
-    planner (with AQE) picks a shuffle join.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for CPU-heavy rows held in a few small files.
-
-    Inputs already cut into at least one partition per core come back unchanged, so large
-    tables gain no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers (once per application)."""
     import shutil

@@ -27,8 +27,5 @@ class Thresholds:
 
 THRESHOLDS = Thresholds()
 
-# A side is only hinted for broadcast after a count shows it has at most this many rows.
-BROADCAST_ROW_LIMIT = 200_000
-
 # Rows per ordering bucket when one logical chain is split over many tasks.
 CHAIN_BUCKET_ROWS = 1_000_000

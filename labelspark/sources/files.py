@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,13 +23,27 @@ class ClaimsFormatError(ValueError):
 def read_claims_csv(spark: SparkSession, path: str) -> DataFrame:
     """Claims CSV: header matched by trimmed lower-case name, cells trimmed, BOM dropped.
 
-    Rows without a filename are dropped, filenames lower-cased, absent optional columns are
-    empty. Only the header is inspected on the driver; rows are never inferred.
+    ``path`` may be a folder whose files order their columns differently: files are read by their
+    own header, those of one header together. Quoted cells may hold line breaks. Rows without a
+    filename are dropped, filenames lower-cased, absent optional columns are empty. ``row_number``
+    rises with the place of a row in its file. Only headers are seen on the driver.
     """
-    raw = spark.read.option("header", True).option("multiLine", False).option(
-        "quote", '"'
-    ).option("escape", '"').csv(path, enforceSchema=True)
-    return normalize_claims(raw)
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    ).withColumn("at", F.monotonically_increasing_id())
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    shapes = heads.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()
+    if not shapes:
+        raise ClaimsFormatError("The CSV file appears to be empty.")
+    parts = [
+        normalize_claims(
+            spark.read.option("header", True).option("multiLine", True).option("quote", '"')
+            .option("escape", '"').csv([unquote(f) for f in shape.files], enforceSchema=True)
+        )
+        for shape in shapes
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def normalize_claims(raw: DataFrame) -> DataFrame:
@@ -50,7 +66,10 @@ def normalize_claims(raw: DataFrame) -> DataFrame:
         return T.strip(F.coalesce(F.col(f"`{quoted}`"), F.lit("")))
 
     wanted = V.REQUIRED_CLAIM_COLUMNS + V.OPTIONAL_CLAIM_COLUMNS
-    rows = raw.select(*[cell(name).alias(name) for name in wanted])
+    rows = raw.select(
+        *[cell(name).alias(name) for name in wanted],
+        F.monotonically_increasing_id().alias("row_number"),
+    )
     return rows.withColumn("filename", F.lower("filename")).filter("filename <> ''")
 
 
@@ -137,11 +156,14 @@ def archive_members(archives: DataFrame) -> DataFrame:
 
 def archive_guards(
     members: DataFrame,
-    max_files: int | None = V.MAX_ARCHIVE_FILES,
-    max_member_bytes: int = V.MAX_MEMBER_BYTES,
-    max_total_bytes: int = V.MAX_ARCHIVE_BYTES,
+    max_files: int | None = None,
+    max_member_bytes: int | None = None,
+    max_total_bytes: int | None = None,
 ) -> DataFrame:
-    """Per archive: image count, largest and total declared size, and a reject reason or ''."""
+    """Per archive: image count, largest and total declared size, and a reject reason or ''.
+
+    Limits are off unless given (:mod:`fixed_values` has those of interactive uploads).
+    """
     image = F.coalesce(is_image_member(F.col("member")), F.lit(False))
     size = F.when(image, F.col("size")).otherwise(F.lit(0))
     stats = members.groupBy("archive").agg(
@@ -150,13 +172,15 @@ def archive_guards(
         F.max(size).alias("largest"),
         F.sum(size).alias("total"),
     )
-    over = F.lit(False) if max_files is None else F.col("images") > max_files
+    def beyond(column: str, limit: int | None) -> Column:
+        return F.lit(False) if limit is None else F.col(column) > limit
+
     return stats.withColumn(
         "reject_reason",
         F.when(~F.col("valid"), "That doesn't look like a valid .zip file.")
         .when(F.col("images") == 0, "No image files were found in the zip.")
         .when(
-            over,
+            beyond("images", max_files),
             F.concat(
                 F.lit("The zip has "), F.col("images").cast("string"),
                 F.lit(f" images — the batch limit is {max_files}. "
@@ -164,11 +188,11 @@ def archive_guards(
             ),
         )
         .when(
-            F.col("largest") > max_member_bytes,
+            beyond("largest", max_member_bytes),
             "A file in the zip is too large — 10 MB max per image.",
         )
         .when(
-            F.col("total") > max_total_bytes,
+            beyond("total", max_total_bytes),
             "The zip's contents are too large to process (over the size limit).",
         )
         .otherwise(""),

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from labelspark import fixed_values as V
-from labelspark.operators import audit, matching, quota
+from labelspark.functions import text as T
+from labelspark.operators import audit, batch, matching, quota
 from labelspark.settings import CHAIN_BUCKET_ROWS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -159,6 +160,9 @@ class _Quota(StatefulProcessor):
             if row.kind == "reset":
                 used = 0.0
                 continue
+            if pd.isna(row.size):
+                out.append((key[0], row.seq, None, False, quota.REASON_UNSIZED))
+                continue
             if row.size > self.max_file:
                 out.append((key[0], row.seq, row.size, False, quota.REASON_LARGE))
                 continue
@@ -187,10 +191,16 @@ def quota_stream(events: DataFrame, cap: float = V.MAX_THREAD_BYTES,
 def verify_stream(labels: DataFrame, claims: DataFrame) -> DataFrame:
     """Arriving label text against a static unique-claims table; stateless, append mode.
 
-    ``claims`` is the output of :func:`batch.unique_claims`, optionally with a ``recognition``
-    column from :func:`standards.with_recognition`, written once and read as a table.
+    ``claims`` is the output of :func:`batch.claims_by_key`, optionally with a ``recognition``
+    column from :func:`standards.with_recognition`, written once and read as a table. A label
+    without a claim, or with several, comes out with that status and is not verified.
     """
-    keyed = labels.withColumn("key", F.lower(F.trim("filename")))
-    joined = keyed.join(claims, "key")
+    keyed = labels.withColumn("key", F.lower(T.strip(F.col("filename"))))
+    joined = keyed.join(claims, "key", "left").withColumn("join_status", batch.label_status())
+    ok = F.col("join_status") == "ok"
     known = "recognition" if "recognition" in claims.columns else None
-    return matching.verify_table(joined, recognition=known)
+    checked = matching.verify_table(joined.withColumn("text", F.when(ok, F.col("text"))), recognition=known)
+    return checked.withColumns({
+        "status": F.when(ok, F.col("status")).otherwise(F.col("join_status")),
+        "message": F.when(ok, F.col("message")).otherwise(batch.why_unmatched()),
+    })

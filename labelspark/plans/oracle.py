@@ -416,12 +416,12 @@ def verify_ctes(src: str, gate: bool = True) -> str:
     ``src`` is a CTE text defining ``raw`` with the claim columns joined to the label columns.
     """
     keep = READABLE if gate else "true"
-    return f"""{src},
+    return f"""{src.replace("raw AS (", "raw AS MATERIALIZED (")},
 src AS (SELECT * FROM raw WHERE {keep}),
 {brand_cte()}, {abv_cte()}, {warning_cte()}, {net_cte()}, {class_cte()},
-fields AS (SELECT * FROM f_brand UNION ALL SELECT * FROM f_abv UNION ALL SELECT * FROM f_warn
+fields AS MATERIALIZED (SELECT * FROM f_brand UNION ALL SELECT * FROM f_abv UNION ALL SELECT * FROM f_warn
   UNION ALL SELECT * FROM f_net UNION ALL SELECT * FROM f_class),
-judged AS (
+judged AS MATERIALIZED (
   SELECT r.id, r.filename, r.confidence, any_value({keep}) AS readable,
     (any_value({keep}) AND (any_value(r.confidence) < 55
       OR coalesce(bool_or(f.inconclusive), false))) AS needs_review,

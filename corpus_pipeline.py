@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspark.llm import decontaminate, line_dedup, mixing, ngram_join, quality
-from labelspark.session import materialize, ship_package
+from labelspark.llm.common import prepare
+from labelspark.session import materialize
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble doesn't reject; it learns from the labels that aren't held out."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each near-duplicate line once; a document that loses all it had goes."""
-    ship_package(spark)
+    prepare(spark)
     cleaned = line_dedup.dedupe_lines(docs)
     emptied = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(" \t\r\n\u000b\f")) == "")
     kept = cleaned.where(~F.coalesce(emptied, F.lit(False)))
@@ -29,19 +30,19 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at four fifths of shared runs of five words."""
-    ship_package(spark)
+    prepare(spark)
     return ngram_join.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    ship_package(spark)
+    prepare(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, mixed by source: one row per document with the words the mix takes from it."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mix(docs)["documents"]
 
 

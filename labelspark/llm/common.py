@@ -20,12 +20,20 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and hand Python tasks fewer whole texts at a time than Spark's default."""
+    ship_package(spark)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, "1000")
+
+
 def query(name: str, sql: str | None = None):
     """Register a query, and its SQL if there is one."""
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         REGISTRY[name] = run

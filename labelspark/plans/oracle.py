@@ -884,6 +884,10 @@ vs AS (SELECT query_id, doc_id, label, round(list_dot_product(c.u, e.u), 12) AS
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM vs)"""
 ORACLE["srt03_dense_top_k"] = f"""WITH {VECTORS}
 SELECT query_id, doc_id, round(sim, 6) AS sim, rank FROM vr WHERE rank <= 10"""
+ORACLE["srt03_all_vectors"] = f"""WITH {VECTORS},
+av AS (SELECT a.doc_id AS query_id, b.doc_id, round(list_dot_product(a.u, b.u), 12) AS sim FROM eu a, eu b)
+SELECT query_id, doc_id, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (
+  PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM av) WHERE rank <= 3"""
 ORACLE["ret05_cosine"] = f"""WITH {VECTORS}
 SELECT doc_id, round(sim, 6) AS similarity FROM vs WHERE query_id = label"""
 ORACLE["jn10_vector_join"] = f"""WITH {VECTORS}

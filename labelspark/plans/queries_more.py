@@ -204,12 +204,11 @@ def std04(spark, sf):
 @query("jn09_postings_join")
 def jn09(spark, sf):
     """Query term x postings: passages and matches behind every asked term."""
-    asked = retrieval.query_terms(D.questions(spark, sf))
-    held = _index(spark, sf).vocab.join(asked, "term")
+    asked = retrieval.query_terms(D.questions(spark, sf)).groupBy("term").agg(
+        F.count("*").alias("queries"), F.sum("repeats").alias("repeats"))
+    held = _index(spark, sf).postings.select("term").join(asked, "term")
     return held.groupBy("term").agg(
-        F.count("*").alias("queries"), F.max("df").alias("passages"),
-        F.sum("repeats").alias("repeats"),
-    )
+        F.max("queries").alias("queries"), F.count("*").alias("passages"), F.max("repeats").alias("repeats"))
 
 
 @query("set01_term_intersection")
@@ -251,6 +250,15 @@ def srt03(spark, sf):
                       F.col("rank").cast("long").alias("rank"))
 
 
+@query("srt03_all_vectors")
+def srt03_all(spark, sf):
+    """The three nearest vectors of every vector, itself included."""
+    vectors = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    top = dense.dense_top_k(vectors, vectors.withColumnRenamed("doc_id", "query_id"), 3)
+    return top.select("query_id", "doc_id", F.round("sim", 6).alias("sim"),
+                      F.col("rank").cast("long").alias("rank"))
+
+
 @query("ret05_cosine")
 def ret05(spark, sf):
     """Cosine of every vector with its own label's mean, by native expressions."""

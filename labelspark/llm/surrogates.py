@@ -212,14 +212,15 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
                          lambda p: p["put"]).alias("_pseudonym_put"))
         .withColumnsRenamed({"list": "_pseudonym_list", "mentions": mine})
     )
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c != "n_replaced"]
+    columns = [F.col(f"`{c}`") for c in kept if c != "text"]
     pieces = F.split("text", ANY)
     joined = F.array_join(F.zip_with(
         pieces, F.array_append("_pseudonym_put", F.lit("")), lambda piece, own: F.concat(piece, own)), "")
     changed = listed.where(has).withColumn("_pseudonym_list", F.xxhash64(mine)).join(
         put, ["_pseudonym_list", mine]).select(*columns, joined.alias("text"), F.size(mine).alias("n_replaced"))
     same = listed.where(~has).select(*columns, "text", F.lit(0).alias("n_replaced"))
-    return changed.unionByName(same).select(*[F.col(f"`{c}`") for c in docs.columns], "n_replaced")
+    return changed.unionByName(same).select(*[F.col(f"`{c}`") for c in kept], "n_replaced")
 
 
 @query("op2_surrogates")

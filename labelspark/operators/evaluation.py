@@ -95,14 +95,14 @@ def before_after(outcomes: DataFrame, config: str = "config") -> DataFrame:
 def retrieval_cases(golden: DataFrame, answers: DataFrame, corpus: DataFrame) -> DataFrame:
     """Per golden case: hit, faithful, cited. Golden: query_id, section (null = must refuse).
 
-    Faithful means every cited passage's text stands verbatim in the answer.
+    Faithful means the own text of every cited passage stands verbatim in the answer.
     """
     cited = answers.select("query_id", "answer", F.explode("citations").alias("c")).select(
-        "query_id", "answer", F.col("c.section").alias("section")
+        "query_id", "answer", F.col("c.doc_id").alias("doc_id")
     )
-    texts = corpus.groupBy("section").agg(F.max_by("text", "ordinal").alias("text"))
-    verbatim = cited.join(texts, "section").groupBy("query_id").agg(
-        F.bool_and(F.contains("answer", "text")).alias("verbatim")
+    # A cited passage that the corpus doesn't hold isn't faithful either.
+    verbatim = cited.join(corpus.select("doc_id", "text"), "doc_id", "left").groupBy("query_id").agg(
+        F.bool_and(F.coalesce(F.contains("answer", "text"), F.lit(False))).alias("verbatim")
     )
     must_refuse = F.col("section").isNull()
     sections = F.transform("citations", lambda c: c["section"])

@@ -334,7 +334,7 @@ def answer(index: Index, queries: DataFrame, k: int = 4, hits: DataFrame | None
     ).withColumn("citation", citation(F.col("section"), F.col("paragraph")))
     part = F.struct(
         "place", F.concat(F.col("citation"), F.lit(" — "), F.col("text")).alias("line"),
-        F.struct("citation", "section", "source_url", "beverage_type").alias("cite"),
+        F.struct("citation", "section", "source_url", "beverage_type", "doc_id").alias("cite"),
     )
     composed = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     return queries.select("query_id").join(composed, "query_id", "left").select(
@@ -349,7 +349,7 @@ def answer(index: Index, queries: DataFrame, k: int = 4, hits: DataFrame | None
         F.coalesce(
             F.transform("parts", lambda p: p["cite"]),
             F.array().cast("array<struct<citation:string,section:string,source_url:string,"
-                           "beverage_type:string>>"),
+                           "beverage_type:string,doc_id:bigint>>"),
         ).alias("citations"),
     )
 

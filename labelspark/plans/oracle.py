@@ -1103,12 +1103,16 @@ gold AS (SELECT a.query_id, CASE WHEN a.query_id % 4 = 0 THEN NULL ELSE c.sectio
   FROM asked a LEFT JOIN corpus c ON c.doc_id = a.query_id),
 gc AS (SELECT g.query_id, n.status, coalesce(CASE WHEN g.section IS NULL THEN status = 'refused'
     ELSE list_contains(n.sections, g.section) END, false) AS hit,
-  g.section IS NULL OR status = 'answered' AS cited
-  FROM gold g JOIN ans n ON n.query_id = g.query_id)"""
-ORACLE["jn07_golden_answers"] = f"WITH {GOLDEN} SELECT query_id, status, hit, cited FROM gc"
+  g.section IS NULL OR status = 'answered' AS cited,
+  g.section IS NULL OR coalesce(t.verbatim, true) AS faithful
+  FROM gold g JOIN ans n ON n.query_id = g.query_id LEFT JOIN (
+    SELECT u.query_id, bool_and(contains(a.answer, c.text)) AS verbatim FROM used u
+    JOIN corpus c ON c.doc_id = u.doc_id JOIN ans a ON a.query_id = u.query_id
+    WHERE a.status = 'answered' GROUP BY u.query_id) t ON t.query_id = g.query_id)"""
+ORACLE["jn07_golden_answers"] = f"WITH {GOLDEN} SELECT query_id, status, hit, faithful, cited FROM gc"
 ORACLE["evl04_retrieval_metrics"] = f"""WITH {GOLDEN}
-SELECT count(*) AS n, round(avg(hit::INT), 6) AS hit_rate, round(avg(cited::INT), 6) AS citation_rate
-FROM gc"""
+SELECT count(*) AS n, round(avg(hit::INT), 6) AS hit_rate,
+  round(avg(faithful::INT), 6) AS faithfulness, round(avg(cited::INT), 6) AS citation_rate FROM gc"""
 
 
 def _grid(points: list[tuple[str, dict]]) -> str:

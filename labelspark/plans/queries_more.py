@@ -516,7 +516,7 @@ def jn07(spark, sf):
     done = retrieval.answer(index, D.questions(spark, sf))
     cases = evaluation.retrieval_cases(_golden(spark, sf), done, index.corpus)
     return cases.select("query_id", "status", F.coalesce("hit", F.lit(False)).alias("hit"),
-                        "cited")
+                        "faithful", "cited")
 
 
 @query("evl04_retrieval_metrics")
@@ -527,6 +527,7 @@ def evl04(spark, sf):
         evaluation.retrieval_cases(_golden(spark, sf), done, index.corpus)
     )
     return out.select("n", F.round("hit_rate", 6).alias("hit_rate"),
+                      F.round("faithfulness", 6).alias("faithfulness"),
                       F.round("citation_rate", 6).alias("citation_rate"))
 
 

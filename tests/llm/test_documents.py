@@ -225,6 +225,30 @@ def test_fuzzy_passages_are_found(spark):
     assert [(r.first_doc_id, r.start_word) for r in made if r.doc_id == 200] == [(0, 0)]
 
 
+def test_passages_behind_decoy_first_holders_are_found(spark):
+    rows, rng = [], random.Random(11)
+    for n in range(12):  # two documents share a passage; others hold single runs of it, or a poor copy
+        passage = words(60, 3000 + n)
+        for i in range(2):
+            rows.append((1000 * n + i, " ".join(words(70, 4000 + 10 * n + i) + passage + words(70, 5000 + 10 * n + i))))
+        if n % 2:
+            for i in range(0, 54, 3):
+                rows += [(1000 * n + 100 + i, " ".join(words(70, 6000 + 100 * n + i) + passage[i : i + 9] + words(70, 8000 + 100 * n + i)))]
+        else:
+            for c in range(6):  # 0.7 near: every tenth run of three is foreign
+                own = [f"poor{n}x{i}" if (i + c) % 10 in (0, 1, 2) else w for i, w in enumerate(passage)]
+                rows.append((1000 * n + 100 + c, " ".join(words(70, 6000 + 100 * n + c) + own + words(70, 8000 + 100 * n + c))))
+    rng.shuffle(rows)
+    made = passages.find_passages(frame(spark, rows)).collect()
+    text = {i: t.split() for i, t in rows}
+    pairs = set()
+    for r in made:
+        a, b = text[r.doc_id][r.start_word : r.end_word], text[r.first_doc_id][r.first_start : r.first_end]
+        assert edits(a, b) <= r.edits <= 0.2 * max(len(a), len(b)) and min(len(a), len(b)) >= 50
+        pairs.add((min(r.doc_id, r.first_doc_id), max(r.doc_id, r.first_doc_id)))
+    assert pairs >= {(1000 * n, 1000 * n + 1) for n in range(12)}
+
+
 def test_chains_keep_order_and_best_score():
     parts = [(0, 0, 10), (12, 13, 10), (24, 26, 8), (5, 100, 9), (14, 2, 6)]
     assert passages.chains(parts)[0] == [(0, 0, 10), (12, 13, 10), (24, 26, 8)]

@@ -249,6 +249,21 @@ def test_passages_behind_decoy_first_holders_are_found(spark):
     assert pairs >= {(1000 * n, 1000 * n + 1) for n in range(12)}
 
 
+def test_passages_at_the_limits_are_found(spark):
+    rows, rng = [], random.Random(12)
+    for n in range(150):  # 50 words, 10 of them changed
+        passage = words(50, 20_000 + n)
+        own = list(passage)
+        for at in rng.sample(range(50), 10):
+            own[at] = f"changed{n}x{at}"
+        rows.append((2 * n, " ".join(words(70, 30_000 + n) + passage + words(70, 40_000 + n))))
+        rows.append((2 * n + 1, " ".join(words(70, 50_000 + n) + own + words(70, 60_000 + n))))
+    made = passages.find_passages(frame(spark, rows)).collect()
+    found = {r.doc_id // 2 for r in made if r.doc_id // 2 == r.first_doc_id // 2}
+    print("passages of 50 words at 0.8 found:", len(found), "of 150")
+    assert len(found) >= 147
+
+
 def test_chains_keep_order_and_best_score():
     parts = [(0, 0, 10), (12, 13, 10), (24, 26, 8), (5, 100, 9), (14, 2, 6)]
     assert passages.chains(parts)[0] == [(0, 0, 10), (12, 13, 10), (24, 26, 8)]

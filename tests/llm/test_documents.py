@@ -134,6 +134,33 @@ def test_near_lines_stay_once(spark):
     assert missed <= 1  # recall of the bands
 
 
+def linked(spark, lines):
+    """The components that the rounds make of lines which all share each bucket."""
+    known = line_dedup.signatures(lines)
+    bands = [f"band{b}" for b in range(line_dedup.BANDS)]
+    listed = known.select("id", "grade", F.posexplode(F.array(*bands)).alias("b", "value")).select(
+        "id", "grade", F.xxhash64("b", "grade", "value").alias("bucket"))
+    made = line_dedup._linked(listed, known.select("id", "grade", *bands), lines.select("id", "line"), 0.8)
+    return {r.node: r.component for r in made.collect()}, listed
+
+
+def test_lines_that_are_near_only_to_a_hubs_copies_are_linked(spark):
+    # Three lines h, p, q each: the end h, which has the smallest id, is near p, and p is near q, h not.
+    rows, chains, rng = [], 60, random.Random(700)
+    for n in range(chains):
+        base = "".join(rng.choice("abcdefghijklmnop") for _ in range(95))
+        rows += [(3 * n, base), (3 * n + 1, base[:-6] + "012345"), (3 * n + 2, "6789AB" + base[6:-6] + "012345")]
+    lines = spark.createDataFrame(rows, "id long, line string").withColumns({"row_key": F.lit(1), "line_no": F.col("id")})
+    made, listed = linked(spark, lines)
+    by = {}
+    for r in listed.collect():
+        by.setdefault(r.bucket, set()).add(r.id)
+    for n in range(chains):  # the links that the bands find
+        links = [(a, b) for a, b in ((3 * n, 3 * n + 1), (3 * n + 1, 3 * n + 2)) if any({a, b} <= s for s in by.values())]
+        want = groups(links, range(3 * n, 3 * n + 3))
+        assert {i: made.get(i, i) for i in want} == want
+
+
 def test_lines_of_odd_rows(odd_docs, no_docs):
     made = line_dedup.dedupe_lines(odd_docs.drop("n_lines"))
     assert made.count() == odd_docs.count()

@@ -161,6 +161,21 @@ def test_lines_that_are_near_only_to_a_hubs_copies_are_linked(spark):
         assert {i: made.get(i, i) for i in want} == want
 
 
+def test_small_families_beside_a_large_group_are_linked(spark):
+    # One group of many copies, and lines of shared wording in few pairs, all of which share buckets.
+    rng, rows = random.Random(31), []
+    big = "".join(rng.choice("abcdefghij ") for _ in range(90))
+    rows += [(10_000 + i, big[: i % 80] + f"{i:04d}" + big[i % 80 + 4 :]) for i in range(400)]
+    wording = "".join(rng.choice("klmnopqrst ") for _ in range(60))
+    for n in range(40):
+        own = "".join(rng.choice("ABCDEFGHIJ") for _ in range(34))
+        rows += [(2 * n, wording + own), (2 * n + 1, wording + own[:-1] + "z")]
+    lines = spark.createDataFrame(rows, "id long, line string").withColumns({"row_key": F.lit(1), "line_no": F.col("id")})
+    made, _ = linked(spark, lines)
+    assert [made.get(2 * n + 1) for n in range(40)] == [2 * n for n in range(40)]
+    assert len({made.get(2 * n, 2 * n) for n in range(40)}) == 40
+
+
 def test_lines_of_odd_rows(odd_docs, no_docs):
     made = line_dedup.dedupe_lines(odd_docs.drop("n_lines"))
     assert made.count() == odd_docs.count()

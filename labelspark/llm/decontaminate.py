@@ -3,8 +3,9 @@
 The words of a window are embedded by a CGK walk: at each step the word under the cursor is put
 out, and a random bit of (step, word) says whether the cursor moves on. Texts a few edits apart give
 outputs a few positions apart, so sampled positions of the output hash near windows together.
-Windows as long as an item (of its length class) look up the items in many such tables, and what is
-found is verified by its exact edit distance.
+Items are cut into parts: one of them has no more edits a word than the whole. Windows as long as a part
+(of its length class) look up the parts in many such tables, and the item is verified around what is
+found by its exact edit distance.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ BLOCK_CHARS = 16_000_000
 CLASS_RATIO = 1.2
 #: Hashes of contaminated documents that may be broadcast (8 bytes a row).
 BROADCAST_KEYS = 1_000_000
-#: Sampled steps in a key, tables added at a time, and the most tables.
-BITS, STEP_TABLES, MOST_TABLES = 4, 8, 96
+#: Sampled steps in a key, tables added at a time, and tables after which the build fails.
+BITS, STEP_TABLES, FAIL_TABLES = 4, 8, 16_384
+#: Words that a part of an item has at least, if the item has twice as many.
+PART = 12
 
 #: Cells that mark neighbouring words of items; a shared cell only lets a window through.
 PAIR_CELLS_LOG2 = 22
@@ -109,7 +112,7 @@ class Searcher:
 
 
 def build(items: list[tuple[str, list[str]]], share: float, recall: float, seed: int = 5) -> Searcher:
-    """Tables until probes, items edited as far as allowed, are found at the rate ``recall``."""
+    """Tables until probes, parts of items edited as far as allowed, are found at the rate ``recall``."""
     vocabulary: dict[str, int] = {}
     held = [(i, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], dtype=np.int64)) for i, ws in items]
     neighbours = np.zeros(1 << PAIR_CELLS_LOG2, dtype=bool)
@@ -117,20 +120,26 @@ def build(items: list[tuple[str, list[str]]], share: float, recall: float, seed:
         neighbours[_pair_cells(own)] = True
     made = Searcher(held, vocabulary, neighbours)
     rng = np.random.default_rng(seed)
-    order = sorted(range(len(held)), key=lambda i: len(held[i][1]))
-    while order:
-        size = len(held[order[0]][1])
-        members = [i for i in order if len(held[i][1]) <= size * CLASS_RATIO]
-        order = order[len(members):]
-        most = max(int(share * len(held[i][1])) for i in members)
-        probed = [members[j] for j in rng.integers(0, len(members), 256)]
-        probes = [_edited(held[i][1], int(share * len(held[i][1])), rng, len(vocabulary)) for i in probed]
+    parts = []  # item, first word, words
+    for i, (_, own) in enumerate(held):
+        count = max(1, len(own) // PART)
+        cuts = [n * len(own) // count for n in range(count + 1)]
+        parts += [(i, lo, own[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+    parts.sort(key=lambda p: len(p[2]))
+    while parts:
+        size = len(parts[0][2])
+        members = [p for p in parts if len(p[2]) <= size * CLASS_RATIO]
+        parts = parts[len(members):]
+        most = max(int(share * len(w)) for *_, w in members)
+        probed = rng.integers(0, len(members), 256)
+        probes = [_edited(members[j][2], int(share * len(members[j][2])), rng, len(vocabulary)) for j in probed]
         text, starts = _laid(probes)
-        own, own_starts = _laid([held[i][1] for i in members])
-        place = {i: n for n, i in enumerate(members)}
+        own, own_starts = _laid([w for *_, w in members])
         found = np.zeros(len(probes), dtype=bool)
         tables: list[tuple] = []
-        while len(tables) * STEP_TABLES < MOST_TABLES and found.mean() < recall:
+        while found.mean() < recall:
+            if len(tables) * STEP_TABLES >= FAIL_TABLES:
+                raise RuntimeError(f"parts of {size} words are found at {found.mean():.3f} after {FAIL_TABLES} tables, not {recall}")
             walk_seed = int(rng.integers(1 << 40))
             picks = [np.sort(rng.choice(2 * size, min(BITS, 2 * size), replace=False)) for _ in range(STEP_TABLES)]
             steps = np.unique(np.concatenate(picks))
@@ -139,10 +148,10 @@ def build(items: list[tuple[str, list[str]]], share: float, recall: float, seed:
             for n, pick in enumerate(picks):
                 at = np.searchsorted(steps, pick)
                 item_keys, probe_keys = keys(mine[at], n), keys(theirs[at], n)
-                found |= item_keys[[place[i] for i in probed]] == probe_keys
-                bucket: dict[int, list[int]] = defaultdict(list)
-                for i, key in zip(members, item_keys.tolist()):
-                    bucket[key].append(i)
+                found |= item_keys[probed] == probe_keys
+                bucket: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                for (i, lo, _), key in zip(members, item_keys.tolist()):
+                    bucket[key].append((i, lo))
                 ordered = np.array(sorted(bucket), dtype=np.uint64)
                 maps.append((ordered, [bucket[k] for k in ordered.tolist()]))
             tables.append((walk_seed, steps, picks, maps))
@@ -197,7 +206,7 @@ def search(searcher: Searcher, texts: list[str | None], share: float) -> list[tu
         if n <= 0:
             continue
         # In a window that matches, an edit can bring one word that is foreign to the items, and part two
-        # neighbours of an item.
+        # neighbours of an item; other parts of the item may have more edits.
         starts = np.flatnonzero(
             (familiar[size : size + n] - familiar[:n] >= max(1, size - group["most"]))
             & (adjoining[size - 1 : size - 1 + n] - adjoining[:n] >= size - 1 - 2 * group["most"])
@@ -210,7 +219,7 @@ def search(searcher: Searcher, texts: list[str | None], share: float) -> list[tu
                 window_keys = keys(out[np.searchsorted(steps, pick)], no)
                 at = np.minimum(np.searchsorted(ordered, window_keys), len(ordered) - 1)
                 for w in np.flatnonzero(ordered[at] == window_keys):
-                    pairs.update((item, int(starts[w])) for item in buckets[at[w]])
+                    pairs.update((item, int(starts[w]) - lo) for item, lo in buckets[at[w]])
     by_item: dict[int, list[int]] = defaultdict(list)
     for item, start in sorted(pairs):
         by_item[item].append(start)

@@ -232,6 +232,24 @@ def test_edited_items_are_found_and_clean_texts_are_not(spark):
         assert edits(own, item) == r.edits <= 0.2 * len(item) and len(own) == r.words
 
 
+def test_long_items_at_the_limit_of_edits_are_found():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    items = [(str(i), words(200, 900 + i)) for i in range(60)]
+    searcher = decontaminate.build(items, 0.2, 0.98)
+    found = 0
+    for i, (_, item) in enumerate(items):
+        numbers = np.array([searcher.vocabulary[w] for w in item])
+        made = decontaminate._edited(numbers, 40, rng, len(searcher.vocabulary))[:-200]
+        names = {n: w for w, n in searcher.vocabulary.items()}
+        text = words(90, 5000 + i) + [names.get(int(n), f"new{n}") for n in made] + words(90, 7000 + i)
+        hits = decontaminate.search(searcher, [" ".join(text)], 0.2)
+        found += any(h[1] == str(i) for h in hits)
+    print("items of 200 words with 40 edits found:", found, "of 60")
+    assert found >= 58
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     from conftest import PROSE  # noqa: F401  (the fixture's text)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import os.path
+import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,7 @@ BLOCK_CELLS = 4_000_000
 #: Counts a task holds before it sends them on.
 HELD_COUNTS = 1_000_000
 
+_TERM_BYTES = re.compile(rb"[a-z\x80-\xff]+")
 #: What a byte of a text is in a term: itself, lower-cased, or 0 outside terms.
 _FOLD = np.zeros(256, dtype=np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -35,35 +38,41 @@ for _c in string.ascii_lowercase.encode():
 class Transducer:
     """A minimal acyclic automaton over the bytes of sorted entries that adds up to their ordinals.
 
-    State s goes on with byte b through slot ``base[s] + b`` if ``owner`` of the slot is s: to
-    ``target``, adding ``add``, the number of entries that come before all entries through it.
-    States are shared by all entries with the same endings, slots by states whose bytes interleave.
+    States with the same endings are one. The step of state s with byte b stands in a hash table under
+    ``s * 256 + b``: its target, and the number of entries that come before all entries through it.
     """
 
-    PARTS = ("base", "final", "owner", "target", "add")
+    PARTS = ("final", "keys", "target", "add")
 
-    def __init__(self, base, final, owner, target, add):
-        self.base, self.final, self.owner, self.target, self.add = base, final, owner, target, add
+    def __init__(self, final, keys, target, add):
+        self.final, self.keys, self.target, self.add = final, keys, target, add
 
     @property
     def root(self) -> int:
-        return len(self.base) - 1
+        return len(self.final) - 1
 
     @classmethod
     def build(cls, entries: list[bytes]) -> Transducer:
         """From distinct entries in byte order. Only the states of the last entry are still open."""
         known: dict[tuple, int] = {}
-        states: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
+        final: list[bool] = []
+        held: list[int] = []  # entries that end from a state on
+        steps: list[tuple[int, int, int]] = []
         path: list[list] = [[False, []]]
         last = b""
 
         def close(down_to: int) -> None:
             while len(path) > down_to:
-                final, edges = path.pop()
-                state = (final, tuple(edges))
+                ends, edges = path.pop()
+                state = (ends, tuple(edges))
                 if state not in known:
-                    known[state] = len(states)
-                    states.append(state)
+                    known[state] = len(final)
+                    before = int(ends)
+                    for b, t in edges:
+                        steps.append((len(final) * 256 + b, t, before))
+                        before += held[t]
+                    final.append(ends)
+                    held.append(before)
                 if path:
                     path[-1][1].append((last[len(path) - 1], known[state]))
 
@@ -74,38 +83,17 @@ class Transducer:
             path[-1][0] = True
             last = entry
         close(0)
-        return cls._packed(states)
-
-    @classmethod
-    def _packed(cls, states: list[tuple[bool, tuple[tuple[int, int], ...]]]) -> Transducer:
-        held = [0] * len(states)  # entries that end from a state on; what it leads to is closed before it
-        for s, (final, edges) in enumerate(states):
-            held[s] = final + sum(held[t] for _, t in edges)
-        used = bytearray(1024 + 2 * sum(len(e) for _, e in states))
-        base, free = np.zeros(len(states), dtype=np.int32), 256
-        for s in sorted(range(len(states)), key=lambda s: -len(states[s][1])):  # the narrow ones fill the gaps
-            edges = states[s][1]
-            if not edges:
-                continue
-            at = free = used.find(0, free)
-            while True:
-                if at + 256 >= len(used):
-                    used.extend(bytes(len(used)))
-                base[s] = at - edges[0][0]
-                if not any(used[base[s] + b] for b, _ in edges):
-                    break
-                at = used.find(0, at + 1)
-            for b, _ in edges:
-                used[base[s] + b] = 1
-        size = used.rfind(1) + 1 + 256
-        owner, target, add = (np.full(size, v, dtype=np.int32) for v in (-1, 0, 0))
-        for s, (final, edges) in enumerate(states):
-            before = int(final)
-            for b, t in edges:
-                slot = base[s] + b
-                owner[slot], target[slot], add[slot] = s, t, before
-                before += held[t]
-        return cls(base, np.array([f for f, _ in states], dtype=bool), owner, target, add)
+        own = np.array(steps, dtype=np.int64).reshape(-1, 3)
+        keys = np.full(2 ** (2 * len(own) + 16).bit_length(), -1, dtype=np.int64)
+        slot, left = _slots(own[:, 0], len(keys)), np.arange(len(own))
+        while len(left):  # all take their slot if it is free, of several one; the others go on to the next
+            free = left[keys[slot[left]] < 0]
+            keys[slot[free]] = own[free, 0]
+            left = left[keys[slot[left]] != own[left, 0]]
+            slot[left] = (slot[left] + 1) % len(keys)
+        target, add = np.zeros(len(keys), dtype=np.int32), np.zeros(len(keys), dtype=np.int32)
+        target[slot], add[slot] = own[:, 1], own[:, 2]
+        return cls(np.array(final, dtype=bool), keys, target, add)
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -117,12 +105,25 @@ class Transducer:
         with np.load(io.BytesIO(data)) as parts:
             return cls(*(parts[p] for p in cls.PARTS))
 
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Slots of the steps, -1 where there is none."""
+        key = state * np.int64(256) + byte
+        slot = _slots(key, len(self.keys))
+        held = self.keys[slot]
+        left = np.flatnonzero((held != key) & (held >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) % len(self.keys)
+            held[left] = self.keys[slot[left]]
+            left = left[(held[left] != key[left]) & (held[left] >= 0)]
+        slot[held != key] = -1
+        return slot
+
     def enter(self, prefix: bytes) -> tuple[int, int] | None:
         """(state, sum) after a prefix; None if no entry begins so."""
         state, total = self.root, 0
         for b in prefix:
-            slot = self.base[state] + b
-            if self.owner[slot] != state:
+            slot = int(self.step(np.array([state]), np.array([b]))[0])
+            if slot < 0:
                 return None
             state, total = int(self.target[slot]), total + int(self.add[slot])
         return state, total
@@ -133,33 +134,59 @@ class Transducer:
         alive = np.arange(len(starts))
         state = np.full(len(starts), entered[0], dtype=np.int32)
         total = np.full(len(starts), entered[1], dtype=np.int32)
-        step = 0
+        at = 0
         while len(alive):
-            ended = lengths[alive] == step
+            ended = lengths[alive] == at
             good = ended & self.final[state]
             found[alive[good]] = total[good]
             alive, state, total = alive[~ended], state[~ended], total[~ended]
-            slot = self.base[state] + data[starts[alive] + step]
-            on = self.owner[slot] == state
+            slot = self.step(state, data[starts[alive] + at])
+            on = slot >= 0
             alive, slot, total = alive[on], slot[on], total[on]
             state, total = self.target[slot], total + self.add[slot]
-            step += 1
+            at += 1
         return found
 
 
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    """First slot of each key in a table of a power of two slots."""
+    with np.errstate(over="ignore"):
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
 def _filled(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
+def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, n): documents of the task that hold a term, sent on when enough are held."""
+    held: dict[str, Counter] = {}
+
+    def rows() -> pa.RecordBatch:
+        langs = pa.array([lang for lang, c in held.items() for _ in c], pa.string())
+        terms = pa.array([t for c in held.values() for t in c], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays(
+            [langs, terms, pa.array([n for c in held.values() for n in c.values()], pa.int64())], ["lang", "term", "n"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            # Bytes outside ASCII are parts of letters here, and lower() leaves them alone.
+            held.setdefault(lang, Counter()).update(set(_TERM_BYTES.findall(text.encode("utf-8").lower())))
+        if sum(map(len, held.values())) > HELD_COUNTS:
+            yield rows()
+            held.clear()
+    yield rows()
+
+
 def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, term, ordinal): terms in at least ``least`` documents of a language, numbered in byte order.
 
     Ordinals run through all languages, language by language. Counts combine in the task; the terms
     are sorted by ranges, and a range's place follows from the sizes of those before it.
     """
-    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    terms = _filled(docs).select("lang", F.explode(F.array_distinct(F.regexp_extract_all(lowered, F.lit(TERM), 0))).alias("term"))
-    often = terms.groupBy("lang", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("lang", "term")
+    counted = _filled(docs).select("lang", "text").mapInArrow(_documents_with, "lang string, term string, n long")
+    often = counted.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "term")
     entry = F.concat("lang", F.lit("\u0000"), "term")
     # The id counts the rows of a task from its number times 2 ** 33.
     ranged = materialize(
@@ -181,7 +208,10 @@ def transducers(terms: DataFrame, shard_terms: int = SHARD_TERMS) -> DataFrame:
         data = Transducer.build(entries).to_bytes()
         return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "size": [len(data)], "data": [data]})
 
-    return terms.withColumn("shard", F.expr(f"ordinal div {shard_terms}")).groupBy("shard").applyInPandas(
+    # A number given keeps the shards, whose rows are few but take long, in tasks of their own.
+    shards = max(1, -(-terms.count() // shard_terms))
+    keyed = terms.withColumn("shard", F.expr(f"ordinal div {shard_terms}")).repartition(shards, "shard")
+    return keyed.groupBy("shard").applyInPandas(
         build, "shard long, size long, data binary")
 
 

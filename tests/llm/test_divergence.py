@@ -66,7 +66,7 @@ def test_the_transducer_gives_ordinals_and_is_minimal():
         assert made.tolist() == [place.get(w, -1) for w in words]
         rests = {frozenset(e[len(p):] for e in entries if e.startswith(p))
                  for e in entries for p in (e[:i] for i in range(len(e) + 1))}
-        assert len(machine.base) == max(1, len(rests))
+        assert len(machine.final) == max(1, len(rests))
 
 
 def test_the_audit_is_that_of_plain_python(spark, monkeypatch):

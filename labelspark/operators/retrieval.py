@@ -1,26 +1,17 @@
-"""Lexical retrieval with citations: index tables, ranking, gates and extractive answers.
-
-A corpus becomes three tables written once and reused by every query batch: ``docs`` (one row
-per passage), ``postings`` (term, doc, tf) range-partitioned by (term, doc) so row-group
-statistics prune to the asked terms and a frequent term spreads over many files, and ``vocab``
-(term, document frequencies). Ranking touches only postings of the asked terms, and
-the top-k window keeps k rows per task and query before its exchange.
-"""
+"""Lexical retrieval with citations: ranking, gates and extractive answers over :mod:`postings`."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelspark import fixed_values as V
-from labelspark.functions import text as T
+from labelspark.operators import postings as P
+from labelspark.operators.postings import Index, lexical_order, open_index  # noqa: F401
 from labelspark.session import scratch_path
 from labelspark.settings import THRESHOLDS
 
 TOKEN = "[a-z0-9.]+"
-SCORE_DIGITS = 9  # equal passages must tie whatever order their terms were summed in
 
 
 # --- terms -------------------------------------------------------------------------------
@@ -64,19 +55,6 @@ def trigger_terms() -> Column:
 
 # --- index -------------------------------------------------------------------------------
 
-@dataclass(frozen=True)
-class Index:
-    """Index tables plus the three corpus scalars of BM25."""
-
-    corpus: DataFrame     # doc_id, ordinal, heading, text and citation columns
-    docs: DataFrame       # doc_id, ordinal, dl
-    postings: DataFrame   # term, doc_id, ordinal, dl, tf, content
-    vocab: DataFrame      # term, df, content_df, idf
-    n_docs: int
-    avgdl: float
-    mean_idf: float
-
-
 def document_text(weight: int) -> Column:
     heading = F.coalesce("heading", F.lit(""))
     weighted = F.repeat(F.concat(heading, F.lit(" ")), F.lit(weight))
@@ -89,16 +67,16 @@ def is_content(raw: Column) -> Column:
 
 
 def document_terms(corpus: DataFrame) -> DataFrame:
-    """(doc_id, ordinal, dl, term, tf, content): term counts of every passage.
+    """(doc_id, ordinal, dl, term, tf, content): term counts of every passage, a null term without any.
 
     All tokens of a passage start in one task, so partial counts are already final there and
     the exchange carries one row per (passage, term). ``content`` holds when any occurrence
     was a content token before folding.
     """
     body = corpus.select(
-        "doc_id", "ordinal", raw_tokens(document_text(V.HEADING_WEIGHT)).alias("raw")
+        "doc_id", F.col("ordinal").cast("long").alias("ordinal"), raw_tokens(document_text(V.HEADING_WEIGHT)).alias("raw")
     )
-    words = body.select("doc_id", "ordinal", F.size("raw").alias("dl"), F.explode("raw").alias("w"))
+    words = body.select("doc_id", "ordinal", F.size("raw").alias("dl"), F.explode_outer("raw").alias("w"))
     return words.groupBy("doc_id", "ordinal", "dl", fold(F.col("w")).alias("term")).agg(
         F.count("*").alias("tf"), F.bool_or(is_content(F.col("w"))).alias("content")
     )
@@ -108,48 +86,14 @@ def corpus_statistics(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def vocabulary(postings: DataFrame, n_docs: int) -> DataFrame:
-    """Document frequency per term and its raw inverse document frequency."""
-    counted = postings.groupBy("term").agg(
-        F.count("*").alias("df"), F.count_if("content").alias("content_df")
-    )
-    n = F.lit(float(n_docs))
-    raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    return counted.withColumn("raw_idf", raw)
-
-
 def build_index(corpus: DataFrame, path: str | None = None) -> Index:
     """Write the index of (doc_id, ordinal, heading, text, ...) passages to ``path``."""
     spark = corpus.sparkSession
     path = path or scratch_path(spark, "index")
-    terms = document_terms(corpus)
-    terms.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(
-        f"{path}/postings"
-    )
-    postings = spark.read.parquet(f"{path}/postings")
-    docs_now = corpus.select(
-        "doc_id", "ordinal", F.size(tokens(document_text(V.HEADING_WEIGHT))).alias("dl")
-    )
-    docs_now.write.parquet(f"{path}/docs")
-    docs = spark.read.parquet(f"{path}/docs")
-    stats = corpus_statistics(docs).first()
-    vocabulary(postings, stats["n_docs"]).write.parquet(f"{path}/vocab")
+    P.write_index(document_terms(corpus), path)
     return open_index(spark, path, corpus)
 
 
-def open_index(spark: SparkSession, path: str, corpus: DataFrame) -> Index:
-    docs = spark.read.parquet(f"{path}/docs")
-    vocab = spark.read.parquet(f"{path}/vocab")
-    stats = corpus_statistics(docs).first()
-    mean_idf = vocab.agg(F.avg("raw_idf")).first()[0] or 0.0
-    floor = V.BM25_EPSILON * mean_idf
-    vocab = vocab.withColumn(
-        "idf", F.when(F.col("raw_idf") < 0, F.lit(floor)).otherwise(F.col("raw_idf"))
-    )
-    return Index(corpus, docs, spark.read.parquet(f"{path}/postings"), vocab,
-                 stats["n_docs"], float(stats["avgdl"] or 0.0), float(mean_idf))
-
-
 # --- scoring -----------------------------------------------------------------------------
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -167,69 +111,17 @@ def query_sizes(queries: DataFrame) -> DataFrame:
 
 
 def score_pairs(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, ordinal, bm25, matched) for passages sharing a token with the query.
+    """(query_id, doc_id, ordinal, bm25, matched) for every passage sharing a token with the query.
 
-    Asked terms (bounded by the query batch, size-checked) filter the postings at the scan; the
-    survivors combine to (query, passage) sums inside each task before the one exchange.
+    Only the buckets of asked terms are read, but every pair is made: use :func:`retrieve` for hits.
     """
-    asked = query_terms(queries)
-    weights = asked.join(index.vocab.select("term", "idf"), "term")
-    k1, b = V.BM25_K1, V.BM25_B
-    length = 1 - b + b * F.col("dl") / F.lit(index.avgdl)
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    hits = index.postings.withColumnRenamed("content", "doc_content").join(weights, "term")
-    return (
-        hits.withColumn("gain", gain * F.col("repeats"))
-        .groupBy("query_id", "doc_id", "ordinal")
-        .agg(
-            F.round(F.sum("gain"), SCORE_DIGITS).alias("bm25"),
-            F.count_if(F.col("content") & F.col("doc_content")).alias("matched"),
-        )
-    )
-
-
-def _padding(index: Index, queries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Zero-score rows for the first passages, so short result lists fill up in corpus order.
-
-    With non-negative idf a list of k needs at most the k lowest ordinals. A corpus of
-    near-copies can have a negative mean idf; then the pool grows by the largest number of
-    scored passages of any query still short of k.
-    """
-    pool = k
-    if index.mean_idf < 0:
-        per_query = pairs.groupBy("query_id").agg(
-            F.count("*").alias("scored"),
-            F.count_if((F.col("matched") > 0) | (F.col("bm25") >= 0)).alias("good"),
-        )
-        pool += per_query.filter(F.col("good") < k).agg(F.max("scored")).first()[0] or 0
-    first = index.docs.select("doc_id", "ordinal").orderBy("ordinal").limit(pool)
-    lowest = [(r["doc_id"], r["ordinal"]) for r in first.collect()]
-    if not lowest:
-        return pairs
-    rows = F.array(*[
-        F.struct(F.lit(d).alias("doc_id"), F.lit(o).alias("ordinal")) for d, o in lowest
-    ])
-    zero = queries.select("query_id", F.explode(rows).alias("d")).select(
-        "query_id", "d.doc_id", "d.ordinal", F.lit(0.0).alias("bm25"),
-        F.lit(0).cast("long").alias("matched"),
-    )
-    types = {f.name: f.dataType for f in pairs.schema}
-    zero = zero.select(*[F.col(c).cast(types[c]).alias(c) for c in pairs.columns])
-    return pairs.unionByName(zero).groupBy("query_id", "doc_id", "ordinal").agg(
-        F.sum("bm25").alias("bm25"), F.sum("matched").alias("matched")
-    )
-
-
-def lexical_order() -> list[Column]:
-    return [F.desc("matched"), F.desc("bm25"), F.asc("ordinal")]
+    return P.score_all(index, P.asked_terms(index, query_terms(queries)))
 
 
 def retrieve(index: Index, queries: DataFrame, k: int = 4) -> DataFrame:
     """Top-k passages of every query: most distinct terms matched, then BM25, then order."""
-    pairs = _padding(index, queries, score_pairs(index, queries), k)
-    w = Window.partitionBy("query_id").orderBy(*lexical_order())
-    top = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    sized = top.join(query_sizes(queries), "query_id")
+    top = P.top_k(index, queries, P.asked_terms(index, query_terms(queries)), k)
+    sized = top.join(index.docs.select("doc_id", "ordinal"), "ordinal").join(query_sizes(queries), "query_id")
     return sized.withColumn(
         "coverage",
         F.when(F.col("n_query_terms") > 0, F.col("matched") / F.col("n_query_terms"))
@@ -271,8 +163,9 @@ def unfaithful_queries(index: Index, queries: DataFrame, tops: DataFrame,
         return rare.select("query_id").distinct()
     held = (
         rare.join(tops.select("query_id", "doc_id"), "query_id")
-        .join(index.postings.filter("content").select("term", "doc_id"), ["term", "doc_id"],
-              "left_semi")
+        .withColumn("bucket", P.bucket_of(F.col("term"), index.buckets)).where("bucket >= 0")
+        .join(index.entries().filter("content").select("bucket", "term", "doc_id"),
+              ["bucket", "term", "doc_id"], "left_semi")
         .select("query_id").distinct()
     )
     return rare.select("query_id").distinct().join(held, "query_id", "left_anti")

@@ -11,6 +11,7 @@ from importlib import resources
 
 from labelspark import fixed_values as V
 from labelspark.plans import derived as D
+from labelspark.settings import THRESHOLDS
 
 ORACLE: dict[str, str] = {}
 
@@ -830,7 +831,7 @@ def _unit(v: str) -> str:
     return f"list_transform({v}, lambda z: z / CASE WHEN {n} = 0 THEN 1 ELSE {n} END)"
 
 
-ORACLE["ret06_rank_fusion"] = f"""WITH {RANKED},
+FUSED = f"""{RANKED},
 dv AS (SELECT doc_id, ordinal, {_unit('v')} AS u FROM (SELECT doc_id, ordinal,
   [{_LETTERS.replace('@t', 'text')}] AS v FROM corpus)),
 qv AS (SELECT query_id, {_unit('v')} AS u FROM (SELECT query_id,
@@ -841,10 +842,21 @@ dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, ord
   AS dense_rank FROM sm),
 fu AS (SELECT r.query_id, r.doc_id, r.ordinal, r.rank - 1 AS lex_rank, d.dense_rank,
   1.0::DOUBLE / (60 + r.rank - 1) + 1.0::DOUBLE / (60 + d.dense_rank) AS fused
-  FROM rk r JOIN dr d ON d.query_id = r.query_id AND d.doc_id = r.doc_id)
-SELECT query_id, doc_id, rn AS rank, lex_rank, dense_rank, round(fused, 9) AS fused FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, ordinal) AS rn FROM fu)
-WHERE rn <= 4"""
+  FROM rk r JOIN dr d ON d.query_id = r.query_id AND d.doc_id = r.doc_id),
+ft AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, ordinal) AS rn FROM fu)"""
+ORACLE["ret06_rank_fusion"] = f"""WITH {FUSED}
+SELECT query_id, doc_id, rn AS rank, lex_rank, dense_rank, round(fused, 9) AS fused FROM ft WHERE rn <= 4"""
+# The answers over fused hits: other ranks, and a close vector supports what words don't.
+_FUSED_HITS = f"""{FUSED},
+hs AS (SELECT h.query_id, h.doc_id, h.matched, h.n_terms, h.coverage, f.rn AS rank, d.sim AS dense_sim FROM ft f
+  JOIN hit h ON h.query_id = f.query_id AND h.doc_id = f.doc_id
+  JOIN dr d ON d.query_id = f.query_id AND d.doc_id = f.doc_id WHERE f.rn <= 4)"""
+_CLOSE = f"dense_sim >= {THRESHOLDS.min_dense_sim}"
+_FUSED_SUPPORT = (f"CASE WHEN matched = 0 OR (n_terms >= 3 AND matched < 2) THEN {_CLOSE} "
+                  f"ELSE coverage >= {THRESHOLDS.min_coverage} OR {_CLOSE} END")
+ORACLE["udf03_fused_answers"] = "WITH " + ANSWERS.replace(RANKED, _FUSED_HITS).replace(
+    "FROM hit h", "FROM hs h").replace(SUPPORT, _FUSED_SUPPORT) + """
+SELECT query_id, status, answer, citations FROM ans"""
 ORACLE["ret07_support_gate"] = f"""WITH {RANKED}
 SELECT query_id, doc_id, {SUPPORT} AS supported FROM hit WHERE rank = 1"""
 ORACLE["ret08_distinguishing_terms"] = f"WITH {INDEX}, {OOV} SELECT query_id, term FROM oov"

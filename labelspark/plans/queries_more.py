@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelspark import fixed_values as V
 from labelspark.functions import text as T
 from labelspark.operators import (
-    audit, batch, dense, evaluation, matching, quota, retrieval, standards, sweep, transcripts,
+    audit, batch, clusters, dense, evaluation, matching, postings, quota, retrieval, standards, sweep, transcripts,
     verification,
 )
 from labelspark.plans import derived as D
@@ -94,26 +94,41 @@ def srt02(spark, sf):
     )
 
 
-@query("ret06_rank_fusion")
-def ret06(spark, sf):
-    """Fused lexical and letter-count vectors; the vectors stand in for any embedder."""
-    def letters(c):
-        low = F.lower(c)
-        return F.array(*[
-            (F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("float")
-            for x in "abcdefghijklmnopqrstuvwxyz"
-        ])
+def _letters(c):
+    """Counts of the letters a to z; they stand in for any embedder."""
+    low = F.lower(c)
+    return F.array(*[
+        (F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("float")
+        for x in "abcdefghijklmnopqrstuvwxyz"
+    ])
+
 
+def _fused(spark, sf, backend=None):
+    """Fused hits of all questions; ``backend`` makes a vector backend of (doc_id, embedding)."""
     corpus, asked = D.corpus(spark, sf), D.questions(spark, sf)
-    vectors = corpus.select("doc_id", "ordinal", letters(F.col("text")).alias("embedding"))
-    query_vectors = asked.select("query_id", letters(F.col("question")).alias("embedding"))
-    fused = dense.fuse(_index(spark, sf), asked, vectors, query_vectors, 4)
-    return fused.select(
+    vectors = corpus.select(F.col("ordinal").alias("doc_id"), _letters(F.col("text")).alias("embedding"))
+    query_vectors = asked.select("query_id", _letters(F.col("question")).alias("embedding"))
+    return dense.fuse(_index(spark, sf), asked, (backend or dense.Tiles)(vectors), query_vectors, 4)
+
+
+@query("ret06_rank_fusion")
+def ret06(spark, sf):
+    """Fused lexical and letter-count vectors, every vector compared."""
+    return _fused(spark, sf).select(
         "query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "lex_rank", "dense_rank",
         F.round("fused", 9).alias("fused"),
     )
 
 
+@query("udf03_fused_answers")
+def udf03(spark, sf):
+    """Cited answers over fused hits, vectors from the clustered backend."""
+    hits = _fused(spark, sf, lambda v: clusters.build_clusters(v, scratch_path(spark, "clusters")))
+    done = retrieval.answer(_index(spark, sf), D.questions(spark, sf), hits=hits)
+    cites = F.array_join(F.transform("citations", lambda c: c["citation"]), "; ")
+    return done.select("query_id", "status", "answer", cites.alias("citations"))
+
+
 @query("ret07_support_gate")
 def ret07(spark, sf):
     tops = _hits(spark, sf).filter("rank = 1")
@@ -206,9 +221,11 @@ def jn09(spark, sf):
     """Query term x postings: passages and matches behind every asked term."""
     asked = retrieval.query_terms(D.questions(spark, sf)).groupBy("term").agg(
         F.count("*").alias("queries"), F.sum("repeats").alias("repeats"))
-    held = _index(spark, sf).postings.select("term").join(asked, "term")
+    index = _index(spark, sf)
+    asked = asked.withColumn("bucket", postings.bucket_of(F.col("term"), index.buckets)).where("bucket >= 0")
+    held = index.postings.select("bucket", "term", "n").join(asked, ["bucket", "term"])
     return held.groupBy("term").agg(
-        F.max("queries").alias("queries"), F.count("*").alias("passages"), F.max("repeats").alias("repeats"))
+        F.max("queries").alias("queries"), F.sum("n").alias("passages"), F.max("repeats").alias("repeats"))
 
 
 @query("set01_term_intersection")

@@ -1376,12 +1376,14 @@ def finish() -> dict[str, str]:  # noqa: F811
     out.update(transcript_statements())
     gate = f"""
 WITH e AS ({D.plain(GATE_EVENTS)}),
-n AS (SELECT *, (SELECT min(d.seq) FROM e d WHERE d.kind = 'decision' AND d.thread = e.thread
-  AND d.seq > e.seq) AS at_seq FROM e WHERE kind = 'call'),
-w AS (SELECT n.*, n.name <> 'verify_label' AS write, d.text AS said FROM n
-  LEFT JOIN e d ON d.seq = n.at_seq)
-SELECT thread, seq, name, NOT write OR lower(trim(said)) LIKE 'approve%' AS released,
-  CASE WHEN NOT write THEN 'read' WHEN lower(trim(said)) LIKE 'approve%' THEN 'approved'
-    ELSE 'cancelled' END AS outcome FROM w WHERE NOT write OR at_seq IS NOT NULL"""
+t AS (SELECT thread, turn, count(*) AS seen, max(calls) AS calls,
+  min(CASE WHEN name <> 'verify_label' THEN seq END) AS asked FROM e WHERE kind = 'call' GROUP BY thread, turn),
+d AS (SELECT t.*, (SELECT min(d.seq) FROM e d WHERE d.kind = 'decision' AND d.thread = t.thread
+  AND d.seq > t.asked) AS at_seq FROM t),
+o AS (SELECT d.thread, d.turn, CASE WHEN asked IS NULL THEN CASE WHEN seen >= d.calls THEN 'read' END
+  WHEN at_seq IS NOT NULL THEN CASE WHEN lower(trim(s.text)) LIKE 'approve%' THEN 'approved' ELSE 'cancelled' END
+  END AS outcome FROM d LEFT JOIN e s ON s.thread = d.thread AND s.seq = d.at_seq)
+SELECT e.thread, e.turn, e.seq, e.name, outcome <> 'cancelled' AS released, outcome
+FROM e JOIN o ON o.thread = e.thread AND o.turn = e.turn WHERE e.kind = 'call' AND outcome IS NOT NULL"""
     out["str02_approval_gate"] = out["str02_approval_gate_batch"] = gate
     return out

@@ -986,13 +986,18 @@ def str01(spark, sf):
     )
 
 
+# Calls of a user near each other are a turn; some turns announce a call that never comes.
 GATE_EVENTS = """
-SELECT CAST(user_id AS STRING) AS thread, event_id AS seq,
+SELECT thread, turn, seq, kind, name, text,
+  CAST(count(CASE WHEN kind = 'call' THEN 1 END) OVER (PARTITION BY thread, turn)
+    + CASE WHEN turn % 5 = 0 THEN 1 ELSE 0 END AS INT) AS calls
+FROM (SELECT CAST(user_id AS STRING) AS thread, event_id AS seq,
+  CAST(floor(event_id / 800.0) AS BIGINT) AS turn,
   CASE WHEN event_type = 'click' THEN 'decision' ELSE 'call' END AS kind,
-  CASE event_id % 3 WHEN 0 THEN 'override_result' WHEN 1 THEN 'verify_label'
+  CASE WHEN event_id % 7 < 2 THEN 'override_result' WHEN event_id % 7 < 6 THEN 'verify_label'
     ELSE 'batch_verify' END AS name,
   CASE WHEN event_id % 2 = 0 THEN ' Approved' ELSE 'cancel' END AS text
-FROM {events}
+FROM {events}) e
 """
 
 

@@ -68,41 +68,74 @@ def append_audit(rows: DataFrame, genesis: str = audit.GENESIS) -> DataFrame:
     )
 
 
-GATE_SCHEMA = "thread string, seq long, name string, released boolean, outcome string"
+GATE_SCHEMA = "thread string, turn long, seq long, name string, released boolean, outcome string"
 
 
 class _ApprovalGate(StatefulProcessor):
-    """Pending writes per thread wait for one decision; other calls pass at once."""
+    """One state machine a turn: collecting, then free, or waiting for a decision and decided.
+
+    ``turns`` has the calls announced and answered or held so far, whether one is a write, and the
+    verdict; ``held`` the calls not answered yet. A turn leaves both when all its calls are answered.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getListState("pending", "seq long, name string")
+        self.turns = handle.getMapState("turns", "turn long", "calls int, seen int, write boolean, verdict string")
+        self.held = handle.getMapState("held", "turn long, seq long", "name string")
+
+    def _release(self, turns: set[int], outcome: str | None) -> list[tuple]:
+        """Held calls of the turns, with the outcome (None: reads of free turns); they leave the state."""
+        found = sorted((k, v) for k, v in self.held.iterator() if k[0] in turns)
+        out = []
+        for (turn, seq), (name,) in found:
+            self.held.removeKey((turn, seq))
+            out.append((turn, seq, name, outcome != "cancelled", outcome or "read"))
+        return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(x) for x in self.pending.get()] if self.pending.exists() else []
         out = []
         for row in _ordered(rows, ["seq"]).itertuples():
             if row.kind == "decision":
-                yes = str(row.text).strip().lower().startswith("approve")
-                out += [(key[0], s, n, yes, "approved" if yes else "cancelled")
-                        for s, n in waiting]
-                waiting = []
-            elif row.name in V.WRITE_TOOLS:
-                waiting.append((row.seq, row.name))
+                verdict = "approved" if str(row.text).strip().lower().startswith("approve") else "cancelled"
+                asked = {k[0]: v for k, v in self.turns.iterator() if v[2] and v[3] is None}
+                out += self._release(set(asked), verdict)
+                for turn, (calls, seen, _, _) in asked.items():
+                    self._keep(turn, calls, seen, True, verdict)
+                continue
+            turn, write = int(row.turn), row.name in V.WRITE_TOOLS
+            calls, seen, had, verdict = self.turns.getValue((turn,)) if self.turns.containsKey((turn,)) else (
+                int(row.calls), 0, False, None)
+            if verdict is not None:  # a late call goes the way of its turn
+                out.append((turn, row.seq, row.name, verdict == "approved", verdict))
             else:
-                out.append((key[0], row.seq, row.name, True, "read"))
-        if waiting:
-            self.pending.put(waiting)
+                self.held.updateValue((turn, int(row.seq)), (row.name,))
+            self._keep(turn, calls, seen + 1, had or write, verdict)
+            if seen + 1 >= calls and not had and not write:
+                out += self._release({turn}, None)
+                self.turns.removeKey((turn,))
+        made = pd.DataFrame(out, columns=["turn", "seq", "name", "released", "outcome"])
+        made.insert(0, "thread", key[0])
+        yield made
+
+    def _keep(self, turn: int, calls: int, seen: int, write: bool, verdict: str | None) -> None:
+        if verdict is not None and seen >= calls:
+            if self.turns.containsKey((turn,)):
+                self.turns.removeKey((turn,))
         else:
-            self.pending.clear()
-        yield pd.DataFrame(out, columns=["thread", "seq", "name", "released", "outcome"])
+            self.turns.updateValue((turn,), (calls, seen, write, verdict))
 
     def close(self) -> None:
         pass
 
 
 def approval_gate(events: DataFrame) -> DataFrame:
-    """(thread, seq, kind = call | decision, name, text) -> released or cancelled calls."""
-    named = events.select("thread", "seq", "kind", F.col("name").alias("name"), "text")
+    """(thread, turn, calls, seq, kind = call | decision, name, text) -> answered calls.
+
+    The calls of a turn are proposed together, ``calls`` says how many. A turn without a write is
+    released when it is complete; a micro-batch may cut it. A turn with a write waits as a whole,
+    its reads too, for the next decision of the thread: approved calls are released, any other text
+    cancels every call. What arrives of a decided turn later goes the same way.
+    """
+    named = events.select("thread", "turn", "calls", "seq", "kind", F.col("name").alias("name"), "text")
     return named.groupBy("thread").transformWithStateInPandas(
         statefulProcessor=_ApprovalGate(), outputStructType=GATE_SCHEMA,
         outputMode="Append", timeMode="None",
@@ -110,20 +143,23 @@ def approval_gate(events: DataFrame) -> DataFrame:
 
 
 def approval_gate_batch(events: DataFrame, bucket_rows: int = CHAIN_BUCKET_ROWS) -> DataFrame:
-    """Batch twin: each write takes the next decision of its thread.
+    """Batch twin: each turn with a write takes the next decision of its thread after its first write.
 
     The look-ahead runs inside (thread, sequence bucket); a bucket without a later decision
     takes the first one of the next buckets from a small table, so a hot thread spreads over
-    tasks. Writes with no decision are still pending and stay out, as in the stream.
+    tasks. Calls with no decision, and those of incomplete turns without a write, are still pending
+    and stay out, as in the stream.
     """
-    decision = F.when(F.col("kind") == "decision", F.struct("seq", "text"))
-    rows = events.withColumn("_bucket", F.floor(F.col("seq") / bucket_rows))
-    heads = rows.filter("kind = 'decision'").groupBy("thread", "_bucket").agg(
-        F.min(F.struct("seq", "text")).alias("_head")
-    )
-    buckets = rows.select("thread", "_bucket").distinct().join(
-        heads, ["thread", "_bucket"], "left"
-    )
+    write = F.col("name").isin(V.WRITE_TOOLS)
+    calls = events.where("kind = 'call'")
+    turns = calls.groupBy("thread", "turn").agg(
+        F.min(F.when(write, F.col("seq"))).alias("asked"), F.count("*").alias("seen"), F.max("calls").alias("calls"))
+    marks = turns.where("asked is not null").select("thread", "turn", F.col("asked").alias("seq"), F.lit(None).cast(
+        "string").alias("text")).unionByName(events.where("kind = 'decision'").select(
+            "thread", F.lit(None).cast("long").alias("turn"), "seq", F.coalesce("text", F.lit("")).alias("text")))
+    decision = F.when(F.col("text").isNotNull(), F.struct("seq", "text"))
+    rows = marks.withColumn("_bucket", F.floor(F.col("seq") / bucket_rows))
+    buckets = rows.groupBy("thread", "_bucket").agg(F.min(decision).alias("_head"))
     after = Window.partitionBy("thread").orderBy(F.desc("_bucket")).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -131,19 +167,19 @@ def approval_gate_batch(events: DataFrame, bucket_rows: int = CHAIN_BUCKET_ROWS)
     inside = Window.partitionBy("thread", "_bucket").orderBy(F.desc("seq")).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    judged = (
+    decided = (
         rows.withColumn("_here", F.min(decision).over(inside))
         .join(carried, ["thread", "_bucket"])
-        .withColumn("_next", F.coalesce("_here", "_later"))
-        .filter("kind = 'call'")
-    )
-    write = F.col("name").isin(V.WRITE_TOOLS)
-    yes = F.lower(F.ltrim(F.col("_next.text"))).startswith("approve")
-    return judged.filter(~write | F.col("_next").isNotNull()).select(
-        "thread", "seq", "name",
-        (~write | yes).alias("released"),
-        F.when(~write, "read").when(yes, "approved").otherwise("cancelled").alias("outcome"),
+        .where("turn is not null")
+        .select("thread", "turn", F.coalesce("_here", "_later").alias("next"))
     )
+    yes = F.lower(F.trim(F.col("next.text"))).startswith("approve")
+    outcome = F.when(F.col("asked").isNull(), F.when(F.col("seen") >= F.col("calls"), "read")).when(
+        F.col("next").isNotNull(), F.when(yes, "approved").otherwise("cancelled"))
+    answered = turns.join(decided, ["thread", "turn"], "left").withColumn("outcome", outcome).where("outcome is not null")
+    return calls.select("thread", "turn", "seq", "name").join(
+        answered.select("thread", "turn", "outcome"), ["thread", "turn"]
+    ).select("thread", "turn", "seq", "name", (F.col("outcome") != "cancelled").alias("released"), "outcome")
 
 
 class _Quota(StatefulProcessor):

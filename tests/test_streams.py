@@ -56,3 +56,42 @@ def test_quota_is_kept_and_reset_over_micro_batches(spark, tmp_path):
         for r in quota.admit(spark.createDataFrame(rows, "thread string, seq long, size double"), ["seq"], 100.0, 200.0).collect():
             want[r.thread, r.seq] = (r.accepted, r.reason)
     assert got == want and len(got) == 11
+
+
+GATE = "thread string, turn long, calls int, seq long, kind string, name string, text string"
+
+
+def call(thread, turn, calls, seq, name):
+    return thread, turn, calls, seq, "call", name, None
+
+
+def decision(thread, seq, text):
+    return thread, None, None, seq, "decision", None, text
+
+
+def test_turns_wait_as_a_whole_over_micro_batches(spark, tmp_path):
+    """Batches cut turns, one in the middle of its reads, and decisions come in batches of their own."""
+    jobs.use_rocksdb(spark)
+    read, write, other = "verify_label", "override_result", "batch_verify"
+    batches = [
+        [call("a", 1, 2, 1, read), call("b", 1, 1, 1, read), call("c", 1, 3, 1, read)],
+        [call("a", 1, 2, 2, read), call("a", 2, 3, 3, read), call("b", 2, 2, 2, write), call("c", 1, 3, 2, write)],
+        [call("a", 2, 3, 4, write), call("a", 2, 3, 5, other), decision("b", 3, "no"), call("b", 2, 2, 4, read)],
+        [decision("a", 6, " APPROVE all"), call("a", 3, 1, 7, write), decision("c", 3, "approved"), call("d", 1, 2, 1, read)],
+        [decision("a", 8, None), call("c", 1, 3, 4, read), call("a", 4, 1, 9, write), decision("d", 2, "approve")],
+    ]
+    frames = [spark.createDataFrame(rows, GATE) for rows in batches]
+    made = drained(spark, jobs.approval_gate(arriving(spark, frames[0], frames, tmp_path)), tmp_path, 5)
+    got = {(r.thread, r.turn, r.seq): (r.released, r.outcome) for r in made.collect()}
+    assert len(got) == made.count()
+    free, yes, no = (True, "read"), (True, "approved"), (False, "cancelled")
+    assert got == {
+        ("a", 1, 1): free, ("a", 1, 2): free, ("b", 1, 1): free,
+        ("a", 2, 3): yes, ("a", 2, 4): yes, ("a", 2, 5): yes, ("a", 3, 7): no,
+        ("b", 2, 2): no, ("b", 2, 4): no,  # the read goes the way of its turn, also when it comes late
+        ("c", 1, 1): yes, ("c", 1, 2): yes, ("c", 1, 4): yes,
+    }  # a 4 has no decision yet; d 1 isn't complete and has no write
+    whole = spark.createDataFrame([r for rows in batches for r in rows], GATE)
+    for width in (1_000_000, 2):
+        twin = jobs.approval_gate_batch(whole, width).collect()
+        assert {(r.thread, r.turn, r.seq): (r.released, r.outcome) for r in twin} == got and len(twin) == len(got)

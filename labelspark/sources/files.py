@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from labelspark import fixed_values as V
 from labelspark.functions import text as T
+from labelspark.sources import records
 
 
 class ClaimsFormatError(ValueError):
@@ -23,35 +24,35 @@ class ClaimsFormatError(ValueError):
 def read_claims_csv(spark: SparkSession, path: str) -> DataFrame:
     """Claims CSV: header matched by trimmed lower-case name, cells trimmed, BOM dropped.
 
-    ``path`` may be a folder whose files order their columns differently: files are read by their
-    own header, those of one header together. Quoted cells may hold line breaks. Rows without a
-    filename are dropped, filenames lower-cased, absent optional columns are empty. ``row_number``
-    rises with the place of a row in its file. Only headers are seen on the driver.
+    ``path`` may be a folder whose files order their columns differently: each is read by its own
+    header. Quoted cells may hold line breaks, and a large file is read by many tasks all the same
+    (see :mod:`records`). Rows without a filename are dropped, filenames lower-cased, absent optional
+    columns are empty. ``row_number`` rises with the place of a row in its file. Only the distinct
+    headers are seen on the driver.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-    ).withColumn("at", F.monotonically_increasing_id())
-    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
-    shapes = heads.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()
+    found, heads = records.read_records(spark, path)
+    shapes = [r["head"] for r in heads.select("head").distinct().orderBy("head").collect()]
     if not shapes:
         raise ClaimsFormatError("The CSV file appears to be empty.")
-    parts = [
-        normalize_claims(
-            spark.read.option("header", True).option("multiLine", True).option("quote", '"')
-            .option("escape", '"').csv([unquote(f) for f in shape.files], enforceSchema=True)
-        )
-        for shape in shapes
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    known = found.join(heads, "file")
+    return reduce(DataFrame.unionByName, [normalize_claims(_cells(known.where(F.col("head") == head), head)) for head in shapes])
+
+
+def _cells(rows: DataFrame, head: str) -> DataFrame:
+    """Records of files with one header as its columns, and their row_number."""
+    if head.count('"') % 2:
+        raise ClaimsFormatError("The header row of a CSV file can't hold line breaks.")
+    names = next(csv.reader([head]))
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = rows.select("row_number", F.from_csv("record", F.lit(schema), {"quote": '"', "escape": '"'}).alias("cells"))
+    return parsed.select(*[F.col(f"cells.c{i}").alias(name) for i, name in enumerate(names)], "row_number")
 
 
 def normalize_claims(raw: DataFrame) -> DataFrame:
+    """Cells of the claims columns by trimmed lower-case name, and ``row_number`` (the last column)."""
     names: dict[str, str] = {}
-    for column in raw.columns:
+    for column in raw.columns[:-1]:
         names[column.replace("﻿", "").strip().lower()] = column
-    if not names:
-        raise ClaimsFormatError("The CSV file appears to be empty.")
     missing = sorted(set(V.REQUIRED_CLAIM_COLUMNS) - set(names))
     if missing:
         raise ClaimsFormatError(
@@ -66,10 +67,7 @@ def normalize_claims(raw: DataFrame) -> DataFrame:
         return T.strip(F.coalesce(F.col(f"`{quoted}`"), F.lit("")))
 
     wanted = V.REQUIRED_CLAIM_COLUMNS + V.OPTIONAL_CLAIM_COLUMNS
-    rows = raw.select(
-        *[cell(name).alias(name) for name in wanted],
-        F.monotonically_increasing_id().alias("row_number"),
-    )
+    rows = raw.select(*[cell(name).alias(name) for name in wanted], "row_number")
     return rows.withColumn("filename", F.lower("filename")).filter("filename <> ''")
 
 

@@ -7,6 +7,7 @@ sides can be compared value by value.
 from __future__ import annotations
 
 import json
+import re
 from importlib import resources
 
 from labelspark import fixed_values as V
@@ -1387,3 +1388,69 @@ SELECT e.thread, e.turn, e.seq, e.name, outcome <> 'cancelled' AS released, outc
 FROM e JOIN o ON o.thread = e.thread AND o.turn = e.turn WHERE e.kind = 'call' AND outcome IS NOT NULL"""
     out["str02_approval_gate"] = out["str02_approval_gate_batch"] = gate
     return out
+
+
+# --- the bundled passages ----------------------------------------------------------------
+
+def _own_passages() -> str:
+    """The bundled regulation passages as the corpus of an index."""
+    text = resources.files("labelspark").joinpath("data", "regulations.json").read_text("utf-8")
+    names = ("beverage_type", "section", "paragraph", "source_url", "heading", "text")
+    rows = ", ".join(
+        f"({i}::BIGINT, {i}::BIGINT, " + ", ".join(quote(c.get(n, "all" if n == "beverage_type" else "")) for n in names) + ")"
+        for i, c in enumerate(json.loads(text)["chunks"]))
+    return f"corpus AS (SELECT * FROM (VALUES {rows}) t(doc_id, ordinal, {', '.join(names)}))"
+
+
+def _own(ctes: str, asked: str) -> str:
+    """Index CTEs over the bundled passages and other questions, their names marked as such."""
+    made = ctes.replace(CORPUS, _own_passages()).replace(ASKED, f"asked AS ({asked})")
+    for name in ("corpus", "asked", "dt", "dc", "dl", "tf", "st", "df", "cdf", "ridf", "midf", "idf", "qt", "qc", "qn", "sc",
+                 "mt", "al", "rk", "hit"):
+        made = re.sub(rf"\b{name}\b", f"own_{name}", made)
+    return made
+
+
+def _expanded(c: str) -> str:
+    return f"{c} || " + _EXPAND.replace("lower(t)", f"lower({c})")
+
+
+def explained_ctes() -> str:
+    """``own_rule`` (key, rule): the controlling passage of each (key, field, reason) row of ``flagged``."""
+    subject = "replace(field, '_', ' ')"
+    whole = f"concat({subject}, ' ', coalesce(reason, ''))"
+    return _own(RANKED, f"SELECT DISTINCT key AS query_id, {_expanded(whole)} AS question FROM flagged") + f""",
+own_sq AS (SELECT DISTINCT key, term FROM ({token_rows(f"(SELECT DISTINCT key, {subject} AS subject FROM flagged)", 'key', 'subject')}) q
+  WHERE {CONTENT}),
+own_bad AS (SELECT DISTINCT key FROM own_sq WHERE term NOT IN (SELECT term FROM own_dc) AND term NOT IN {EXEMPT}),
+own_rule AS (SELECT h.query_id AS key, concat('27 CFR ', c.section, c.paragraph) AS rule FROM own_hit h
+  JOIN own_corpus c ON c.doc_id = h.doc_id
+  WHERE h.rank = 1 AND ({SUPPORT}) AND h.query_id NOT IN (SELECT key FROM own_bad))"""
+
+
+ORACLE["ret11_regulatory_lookup"] = "WITH " + ANSWERS.replace(CORPUS, _own_passages()).replace(
+    ASKED, """asked AS (SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'alcohol content statement for wine'
+    WHEN 1 THEN 'age statement for whisky' ELSE concat('label rule for ', p_name) END AS question,
+  CASE WHEN p_partkey % 2 = 0 THEN 'wine' ELSE '' END AS beverage_type FROM part)""").replace(
+    "list(section) AS sections", "string_agg(section, ',' ORDER BY place) AS sections").replace(
+    "coalesce(p.sections, [])", "coalesce(p.sections, '')") + " SELECT query_id, status, sections FROM ans"
+ORACLE["jn04_attach_regulations"] = joined_sql(f""",
+flagged AS (SELECT DISTINCT concat(field, chr(1), detail) AS key, field, detail AS reason FROM fields WHERE NOT passed),
+{explained_ctes()}
+SELECT f.filename, f.field, f.passed, coalesce(r.rule, '') AS rule FROM fields f
+LEFT JOIN own_rule r ON NOT f.passed AND r.key = concat(f.field, chr(1), f.detail)""")
+_second_finish = finish
+
+
+def finish() -> dict[str, str]:  # noqa: F811
+    out = _second_finish()
+    kind = "coalesce(nullif(beverage_type, ''), CASE WHEN recognized THEN kind END, '')"
+    reason = f"trim(concat({kind}, ' ', coalesce(designation, '')))"
+    out["std04_advisory"] = _designations(f""", {COMPOSITION},
+flagged AS (SELECT DISTINCT {reason} AS key, 'class type designation' AS field, {reason} AS reason FROM cm),
+{explained_ctes()}
+SELECT claim_id AS query_id, CASE WHEN recognized AND comp_status = 'OK' THEN 'OK' ELSE 'REVIEW' END AS status,
+  CASE WHEN recognized THEN message ELSE concat(message, ' This is advisory; it is never an auto-rejection.') END AS assessment,
+  CASE WHEN recognized THEN section ELSE '' END AS section, coalesce(rule, '') AS citation, comp_status AS composition_status
+FROM cm LEFT JOIN own_rule ON key = {reason}""")
+    return out

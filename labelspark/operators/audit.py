@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from labelspark import fixed_values as V
 from labelspark.functions import text as T
+from labelspark.session import materialize
 from labelspark.settings import CHAIN_BUCKET_ROWS
 
 GENESIS = hashlib.sha256(b"labelspark/audit/genesis/1").hexdigest()
@@ -101,27 +102,29 @@ def checkpoints(rows: DataFrame) -> DataFrame:
     )
 
 
+def _bucketed(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """Add ``_bucket``, ``_prior`` (row_hash of the row before in the bucket) and ``_first``."""
+    inside = Window.partitionBy("chain", "_bucket").orderBy("id")
+    return rows.withColumn("_bucket", F.floor(F.col("id") / bucket_rows)).withColumn(
+        "_prior", F.lag("row_hash").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+
+
 def expected_links(rows: DataFrame, genesis: str = GENESIS,
                    bucket_rows: int = CHAIN_BUCKET_ROWS) -> DataFrame:
     """Add ``expected_prev``: the row_hash of the previous row of the chain, genesis first.
 
     The window runs inside (chain, id bucket); bucket heads take their value from a small table
-    of bucket tails, so one huge chain spreads over many tasks.
+    of bucket tails, so one huge chain spreads over many tasks. Tails come from the windowed rows,
+    whose exchange both uses share: ``rows`` is read once.
     """
-    bucketed = rows.withColumn("_bucket", F.floor(F.col("id") / bucket_rows))
-    tails = bucketed.groupBy("chain", "_bucket").agg(
-        F.max_by("row_hash", "id").alias("_tail")
-    )
+    linked = _bucketed(rows, bucket_rows)
+    tails = linked.groupBy("chain", "_bucket").agg(F.max_by("row_hash", "id").alias("_tail"))
     heads = tails.withColumn(
         "_carry",
         F.coalesce(
             F.lag("_tail").over(Window.partitionBy("chain").orderBy("_bucket")), F.lit(genesis)
         ),
     ).drop("_tail")
-    inside = Window.partitionBy("chain", "_bucket").orderBy("id")
-    linked = bucketed.withColumn("_prior", F.lag("row_hash").over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
     return (
         linked.join(heads, ["chain", "_bucket"])
         .withColumn(
@@ -132,26 +135,66 @@ def expected_links(rows: DataFrame, genesis: str = GENESIS,
     )
 
 
+def climb(rows: DataFrame, report: DataFrame) -> DataFrame:
+    """Rungs (chain, upto, row_count, head_hash) of the chains that ``report`` on these rows finds intact."""
+    good = report.where("ok").select("chain")
+    return rows.join(good, "chain", "left_semi").groupBy("chain").agg(
+        F.max("id").alias("upto"), F.count("*").alias("row_count"), F.max_by("row_hash", "id").alias("head_hash"))
+
+
+def _above(rows: DataFrame, ladder: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows above the rungs, and the rungs (chain, _upto, _n, _head) that still hold as many rows as they did."""
+    rungs = ladder.select("chain", F.col("upto").alias("_upto"), F.col("row_count").alias("_n"), F.col("head_hash").alias("_head"))
+    below = rows.select("chain", "id").join(rungs, "chain").groupBy("chain", "_upto", "_n", "_head").agg(
+        F.count_if(F.col("id") <= F.col("_upto")).alias("held"))
+    firm = materialize(below.where(F.col("held") == F.col("_n")).drop("held"), "rungs")
+    left = rows.join(firm.select("chain", "_upto"), "chain", "left").where("_upto is null or id > _upto").drop("_upto")
+    return left, firm
+
+
 def verify_chains(
     rows: DataFrame, expected: DataFrame, genesis: str = GENESIS,
-    bucket_rows: int = CHAIN_BUCKET_ROWS,
+    bucket_rows: int = CHAIN_BUCKET_ROWS, ladder: DataFrame | None = None,
 ) -> DataFrame:
     """Integrity report per chain: ok, kind, broken_position, message.
 
-    ``expected`` holds the checkpoints (chain, row_count, head_hash).
+    ``expected`` holds the checkpoints (chain, row_count, head_hash). Rows are read once: a bucket of a
+    chain sends its first break, its ends and its size, and only those are compared across buckets.
+
+    ``ladder`` has the rungs of an earlier verification (:func:`climb`). Rows up to a rung are counted, not
+    hashed again, and the chain goes on from the rung's head; a chain with another number of rows
+    there is verified as a whole. What was changed below a rung without adding or removing rows is left
+    to a verification without the ladder.
     """
-    linked = expected_links(rows, genesis, bucket_rows)
+    rungs = None
+    if ladder is not None:
+        rows, rungs = _above(rows, ladder)
     intact = F.coalesce(
         row_hash(F.col("prev_hash"), canonical()) == F.col("row_hash"), F.lit(False)
     )
     broken = F.when(~intact, "altered").when(
-        ~F.col("prev_hash").eqNullSafe(F.col("expected_prev")), "link"
+        ~F.col("_first") & ~F.col("prev_hash").eqNullSafe(F.col("_prior")), "link"
     )
-    found = linked.withColumn("_break", broken).groupBy("chain").agg(
+    buckets = _bucketed(rows, bucket_rows).withColumn("_intact", intact).withColumn("_break", broken).groupBy(
+        "chain", "_bucket").agg(
         F.count("*").alias("rows"),
         F.min(F.when(F.col("_break").isNotNull(), F.struct("id", "_break"))).alias("first_break"),
+        F.min(F.when(F.col("_first"), F.struct("id", "prev_hash", "_intact"))).alias("head"),
         F.max(F.struct("id", "row_hash")).alias("tail"),
     )
+    start = F.lit(genesis)
+    if rungs is not None:
+        buckets, start = buckets.join(rungs, "chain", "left"), F.coalesce("_head", F.lit(genesis))
+    carry = F.coalesce(F.lag("tail.row_hash").over(Window.partitionBy("chain").orderBy("_bucket")), start)
+    apart = F.when(F.col("head._intact") & ~F.col("head.prev_hash").eqNullSafe(carry), F.struct(
+        F.col("head.id").alias("id"), F.lit("link").alias("_break")))
+    found = buckets.withColumn("first_break", F.least("first_break", apart)).groupBy("chain").agg(
+        F.sum("rows").alias("rows"), F.min("first_break").alias("first_break"), F.max("tail").alias("tail"))
+    if rungs is not None:
+        at_rung = F.struct(F.col("_upto").alias("id"), F.col("_head").alias("row_hash"))
+        found = found.join(rungs, "chain", "full_outer").select(
+            "chain", (F.coalesce("rows", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("rows"), "first_break",
+            F.coalesce("tail", F.when(F.col("_upto").isNotNull(), at_rung)).alias("tail"))
     marks = expected.select("chain", F.col("row_count"), F.col("head_hash"))
     both = found.join(marks, "chain", "full_outer").withColumn(
         "rows", F.coalesce("rows", F.lit(0))

@@ -1387,6 +1387,7 @@ o AS (SELECT d.thread, d.turn, CASE WHEN asked IS NULL THEN CASE WHEN seen >= d.
 SELECT e.thread, e.turn, e.seq, e.name, outcome <> 'cancelled' AS released, outcome
 FROM e JOIN o ON o.thread = e.thread AND o.turn = e.turn WHERE e.kind = 'call' AND outcome IS NOT NULL"""
     out["str02_approval_gate"] = out["str02_approval_gate_batch"] = gate
+    out["aud04_ladder"] = out["aud04_verify_chains"]
     return out
 
 

@@ -196,3 +196,26 @@ def test_answers_over_fused_hits(spark, own_index):
     done = {r.query_id: r.status for r in retrieval.answer(own_index, asked, hits=hits).collect()}
     assert {q: t.dense_sim >= 0.8 for q, t in tops.items()} == {q: s == "answered" for q, s in done.items()}
     assert done[2] == "refused"
+
+
+def test_only_changed_passages_are_encoded_again(spark, tmp_path):
+    encoded = spark.sparkContext.accumulator(0)
+    plain = dense.word_slots(8)
+
+    def encode(texts):
+        encoded.add(len(texts))
+        return plain(texts)
+
+    def run(texts):
+        before = encoded.value
+        rows = dense.persist_vectors(corpus_frame(spark, texts), str(tmp_path), "slots", encode).collect()
+        assert {r.ordinal: list(r.embedding) for r in rows} == {
+            i: [float(x) for x in plain([f". {t or ''}"])[0]] for i, t in enumerate(texts)} and len(rows) == len(texts)
+        return encoded.value - before
+
+    texts = ["one two", "three", "three", None, "four five six"]
+    assert run(texts) == 4 and run(texts) == 0
+    assert run(["one two", "three", "changed", None, "four five six", "three"]) == 1
+    assert run(texts) == 0
+    other = dense.persist_vectors(corpus_frame(spark, texts), str(tmp_path), "other", encode)
+    assert other.count() == 5 and encoded.value == 9

@@ -882,10 +882,13 @@ FROM qt JOIN df ON df.term = qt.term GROUP BY qt.term"""
 ORACLE["set01_term_intersection"] = f"""
 WITH {CORPUS}, {ASKED}, q AS (SELECT DISTINCT query_id, term FROM ({token_rows('asked', 'query_id',
     'question')}) x WHERE {CONTENT}),
-d AS (SELECT DISTINCT doc_id, term FROM ({token_rows('corpus', 'doc_id', 'text')}) x WHERE {CONTENT})
-SELECT a.query_id, count(d.term) AS shared, count(q.term) - count(d.term) AS missing FROM asked a
-JOIN corpus c ON c.doc_id = a.query_id LEFT JOIN q ON q.query_id = a.query_id
-LEFT JOIN d ON d.doc_id = a.query_id AND d.term = q.term GROUP BY a.query_id"""
+d AS (SELECT DISTINCT doc_id, term FROM ({token_rows('corpus', 'doc_id', 'text')}) x WHERE {CONTENT}),
+b AS (SELECT query_id, doc_id, count(*) AS shared FROM q JOIN d ON d.term = q.term GROUP BY ALL),
+p AS (SELECT query_id, count(*) AS documents, sum(shared) AS shared, max(shared) AS most FROM b GROUP BY 1),
+n AS (SELECT a.query_id, count(q.term) AS n FROM asked a LEFT JOIN q ON q.query_id = a.query_id GROUP BY 1)
+SELECT n.query_id, CAST(coalesce(documents, 0) AS BIGINT) AS documents, CAST(coalesce(shared, 0) AS BIGINT) AS shared,
+  CAST(coalesce(most, 0) AS BIGINT) AS most, CAST(n - coalesce(most, 0) AS BIGINT) AS least_missing
+FROM n LEFT JOIN p ON p.query_id = n.query_id"""
 VECTORS = f"""
 vx AS (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x,
   unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL),
@@ -1109,8 +1112,10 @@ ORACLE["evl03_before_after"] = f"""
 SELECT * FROM (WITH {board_ctes()} SELECT 'filed' AS config, {_BEFORE} FROM board)
 UNION ALL SELECT * FROM (WITH {board_ctes(RAW_JOINED.replace('c.alcohol_content',
     "'5.0' AS alcohol_content"))} SELECT 'edited' AS config, {_BEFORE} FROM board)"""
-ORACLE["set03_cohort_union"] = """SELECT CASE WHEN p_partkey % 11 = 0 THEN 'clean' ELSE 'degraded' END
-  AS cohort, count(*) AS cases FROM part GROUP BY 1"""
+ORACLE["set03_cohort_union"] = batch_sql(f""", {EXPECTED}
+SELECT CASE WHEN status IN ('no_application_data', 'duplicate_application_data', 'no_image') THEN 'unmatched'
+  ELSE kind END AS cohort, status, count(*) AS cases
+FROM rows_all r LEFT JOIN truth t ON t.filename = r.filename GROUP BY 1, 2""")
 GOLDEN = f"""{ANSWERS},
 gold AS (SELECT a.query_id, CASE WHEN a.query_id % 4 = 0 THEN NULL ELSE c.section END AS section
   FROM asked a LEFT JOIN corpus c ON c.doc_id = a.query_id),
@@ -1177,9 +1182,9 @@ ev AS (SELECT params, (CASE WHEN windows THEN bw ELSE bpl END) = exp_brand
 pt AS (SELECT params, count(*) FILTER (hit) AS right_cases, count(*) AS cases FROM ev GROUP BY params)
 SELECT *, row_number() OVER (ORDER BY right_cases DESC, params DESC) AS rank FROM pt""",
         "evl13_refuse_sweep": f"""WITH {SCOPED},
-sg AS (SELECT *, query_id % 4 = 0 AS probe, query_id NOT IN (SELECT query_id FROM oov) AS faithful
+sg AS (SELECT *, query_id % 8 = 0 AS probe, query_id NOT IN (SELECT query_id FROM oov) AS faithful
   FROM tp),
-ev AS (SELECT params, probe, NOT faithful AS must, faithful AND CASE WHEN matched = 0 OR
+ev AS (SELECT params, probe, query_id % 8 = 4 AS must, faithful AND CASE WHEN matched = 0 OR
   (n_terms >= 3 AND matched < 2) THEN false ELSE coverage >= min_coverage END AS yes
   FROM sg, {refuse}),
 pt AS (SELECT params, round(count(*) FILTER (probe AND NOT yes) / count(*) FILTER (probe), 6) AS score,

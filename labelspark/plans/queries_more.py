@@ -230,26 +230,29 @@ def jn09(spark, sf):
 
 @query("set01_term_intersection")
 def set01(spark, sf):
-    """Question terms shared with the document carrying the same number."""
-    asked = D.questions(spark, sf).select(
-        "query_id", retrieval.content_terms(F.col("question")).alias("q")
-    )
-    held = D.corpus(spark, sf).select(
-        F.col("doc_id").alias("query_id"), retrieval.content_terms(F.col("text")).alias("d")
-    )
-    both = asked.join(held, "query_id")
-    return both.select(
-        "query_id", F.size(F.array_intersect("q", "d")).cast("long").alias("shared"),
-        F.size(F.array_except("q", "d")).cast("long").alias("missing"),
-    )
+    """Terms that each question shares with every document: one row per question over all of them."""
+    def terms(frame, key, text):
+        return frame.select(key, F.explode(retrieval.content_terms(F.col(text))).alias("term"))
+
+    asked = D.questions(spark, sf)
+    shared = terms(D.corpus(spark, sf), "doc_id", "text").join(terms(asked, "query_id", "question"), "term").groupBy(
+        "query_id", "doc_id").agg(F.count("*").alias("shared"))
+    per = shared.groupBy("query_id").agg(
+        F.count("*").alias("documents"), F.sum("shared").alias("shared"), F.max("shared").alias("most"))
+    sizes = retrieval.query_sizes(asked)
+    return sizes.join(per, "query_id", "left").select(
+        "query_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "shared", "most")],
+        (F.col("n_query_terms") - F.coalesce("most", F.lit(0))).cast("long").alias("least_missing"))
 
 
 @query("set03_cohort_union")
 def set03(spark, sf):
-    done = _board(spark, sf)
-    clean = done.filter("kind = 'clean'").select("filename", F.lit("clean").alias("cohort"))
-    rest = done.filter("kind <> 'clean'").select("filename", F.lit("degraded").alias("cohort"))
-    return clean.unionByName(rest).groupBy("cohort").agg(F.count("*").alias("cases"))
+    """Verified rows by their cohort and rows without a partner, in one result."""
+    done = batch.verify_batch(D.labels(spark, sf), D.claims(spark, sf), docs.default_designations(spark))
+    alone = F.col("status").isin("no_application_data", "duplicate_application_data", "no_image")
+    matched = done.filter(~alone).join(D.expected(spark, sf), "filename").select(F.col("kind").alias("cohort"), "status")
+    rest = done.filter(alone).select(F.lit("unmatched").alias("cohort"), "status")
+    return matched.unionByName(rest).groupBy("cohort", "status").agg(F.count("*").alias("cases"))
 
 
 # --- vectors -----------------------------------------------------------------------------
@@ -572,10 +575,11 @@ def evl04(spark, sf):
 
 @query("evl13_refuse_sweep")
 def evl13(spark, sf):
+    """Golden questions have a section to cite or none, probes none; which is which doesn't come from retrieval."""
     asked = D.questions(spark, sf)
     signals = retrieval.retrieval_signals(_index(spark, sf), asked).withColumn(
-        "is_probe", F.col("query_id") % 4 == 0
-    ).withColumn("must_refuse", ~F.col("faithful"))
+        "is_probe", F.col("query_id") % 8 == 0
+    ).withColumn("must_refuse", F.col("query_id") % 8 == 4)
     return sweep.refuse_threshold_sweep(signals).select(
         "params", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"),
         "feasible", "golden_answered", "golden_refused", "probe_refused",

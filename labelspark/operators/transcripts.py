@@ -18,10 +18,16 @@ STEP_COLUMNS = ["case_id", "step", "kind", "tool", "text", "result", "action"]
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document per file, as (file, value)."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+def read_transcript_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON document per line of the text files at ``path``, as (file, value)."""
+    lines = spark.read.text(path).where("value <> ''")
+    return lines.select(F.col("_metadata.file_path").alias("file"), "value")
+
+
 def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
@@ -82,7 +88,8 @@ def transcript_documents(cases: DataFrame, steps: DataFrame) -> DataFrame:
     gathered = steps.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("step", F.to_json(
         one["body"]).alias("body")))).alias("steps"))
     quote = lambda c: F.to_json(F.struct(c.alias("x")))
-    inner = lambda c: F.regexp_extract(quote(c), r'(?s)^\{"x":(.*)\}$', 1)
+    inner = lambda c: F.when(c.isNull(), "null").otherwise(
+        F.regexp_extract(quote(c), r'(?s)^\{"x":(.*)\}$', 1))
     body = F.concat(
         F.lit('{"case_id":'), inner(F.col("case_id")),
         F.lit(',"expected_tool":'), inner(F.col("expected_tool")),

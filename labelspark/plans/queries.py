@@ -18,9 +18,9 @@ from labelspark.operators import (
     sweep, transcripts, verification, words,
 )
 from labelspark.plans import derived as D
-from labelspark.session import ship_package
+from labelspark.session import scratch_path, ship_package
 from labelspark.sources import documents as docs
-from labelspark.sources import files
+from labelspark.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -398,7 +398,9 @@ def srt04(spark, sf):
 
 @query("snk01_results_export")
 def snk01(spark, sf):
-    return batch.results_export(_batch(spark, sf))
+    path = scratch_path(spark, "results-csv")
+    sinks.write_results_csv(_batch(spark, sf), path)
+    return files.read_export_csv(spark, path)
 
 
 @query("std05_reasons")

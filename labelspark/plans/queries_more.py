@@ -466,7 +466,9 @@ def aud06(spark, sf):
 
 @query("snk02_audit_export")
 def snk02(spark, sf):
-    return audit.export_frame(_chains(spark, sf))
+    path = scratch_path(spark, "audit-csv")
+    sinks.write_audit_csv(_chains(spark, sf), path)
+    return files.read_export_csv(spark, path)
 
 
 @query("srt01_recent_rows")
@@ -825,11 +827,16 @@ def evl10(spark, sf):
     )
 
 
+def _written_transcripts(spark, sf):
+    path = scratch_path(spark, "transcripts")
+    sinks.write_transcripts(_cases(spark, sf), _steps(spark, sf), path)
+    return transcripts.read_transcript_lines(spark, path)
+
+
 @query("snk03_transcript_documents")
 def snk03(spark, sf):
     """Documents written out and read back: steps per case survive the round trip."""
-    made = transcripts.transcript_documents(_cases(spark, sf), _steps(spark, sf))
-    again = transcripts.parse_steps(made.select(F.col("document").alias("value")))
+    again = transcripts.parse_steps(_written_transcripts(spark, sf))
     return again.groupBy("case_id").agg(
         F.count("*").alias("steps"), F.count_if(F.col("kind") == "message").alias("messages")
     )
@@ -837,8 +844,7 @@ def snk03(spark, sf):
 
 @query("src09_transcript_scan")
 def src09(spark, sf):
-    made = transcripts.transcript_documents(_cases(spark, sf), _steps(spark, sf))
-    cases = transcripts.parse_cases(made.select(F.col("document").alias("value")))
+    cases = transcripts.parse_cases(_written_transcripts(spark, sf))
     return cases.select("case_id", "expected_tool", F.array_join("invariants", ",").alias(
         "invariants"), "is_write")
 
@@ -911,6 +917,13 @@ def agg07(spark, sf):
                                 ).select("archive", "images", "largest", "total", "reject_reason")
 
 
+def _json_files(spark, rows, name):
+    """(file, value) of documents written as a file for each ``file`` of the rows, read by the scan of such files."""
+    path = scratch_path(spark, name)
+    rows.repartition("file").write.partitionBy("file").option("compression", "none").text(path)
+    return docs.read_json_files(spark, path).withColumn("file", F.regexp_extract("file", "file=([^/]+)", 1))
+
+
 @query("src04_corpus_json")
 def src04(spark, sf):
     """Corpus files of fifty passages each, parsed with defaults and file order."""
@@ -924,6 +937,7 @@ def src04(spark, sf):
     ).agg(F.array_sort(F.collect_list(F.struct("doc_id", chunk.alias("c")))).alias("rows"))
     raw = raw.select("file", F.to_json(F.struct(
         F.transform("rows", lambda r: r["c"]).alias("chunks"))).alias("value"))
+    raw = _json_files(spark, raw, "corpus-json")
     return docs.load_corpus(raw).select(
         "file", F.col("ordinal").cast("long").alias("ordinal"), "section", "beverage_type",
         "source_url", F.length("text").cast("long").alias("chars"),
@@ -938,10 +952,10 @@ def src05(spark, sf):
         F.lit("spirits").alias("beverage_type"), F.lit("5.1").alias("section"),
         F.col("p_size").cast("double").alias("abv_min"),
     )
-    raw = D.table(spark, sf, "part").select(
-        F.to_json(F.struct(F.array(entry).alias("designations"))).alias("value")
+    raw = D.table(spark, sf, "part").groupBy(F.pmod("p_partkey", F.lit(20)).alias("file")).agg(
+        F.to_json(F.struct(F.collect_list(entry).alias("designations"))).alias("value")
     )
-    parsed = standards.dictionary_phrases(docs.designations(raw))
+    parsed = standards.dictionary_phrases(docs.designations(_json_files(spark, raw, "designations-json")))
     return parsed.groupBy("phrase").agg(
         F.count("*").alias("entries"), F.max("phrase_tokens").cast("long").alias("tokens"),
         F.max("abv_min").alias("abv_min"),
@@ -950,19 +964,21 @@ def src05(spark, sf):
 
 @query("src06_section_map_json")
 def src06(spark, sf):
-    raw = D.table(spark, sf, "part").select(F.to_json(F.struct(F.create_map(
-        F.col("p_partkey").cast("string"),
-        F.struct(F.col("p_type").alias("part"), F.col("p_name").alias("heading")),
-    ).alias("sections"))).alias("value"))
-    return docs.verified_sections(raw)
+    raw = D.table(spark, sf, "part").groupBy(F.pmod("p_partkey", F.lit(20)).alias("file")).agg(
+        F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(
+            F.col("p_partkey").cast("string").alias("key"),
+            F.struct(F.col("p_type").alias("part"), F.col("p_name").alias("heading")).alias("value"),
+        ))).alias("sections"))).alias("value"))
+    return docs.verified_sections(_json_files(spark, raw, "sections-json"))
 
 
 @query("src07_golden_json")
 def src07(spark, sf):
-    raw = D.table(spark, sf, "benchmark").select(F.to_json(F.struct(F.array(F.struct(
-        F.col("text").alias("q"), F.col("item_id").cast("string").alias("section"),
-    )).alias("cases"))).alias("value"))
-    return docs.golden_questions(raw).select("question", "section",
+    raw = D.table(spark, sf, "benchmark").groupBy(F.pmod("item_id", F.lit(10)).alias("file")).agg(
+        F.to_json(F.struct(F.collect_list(F.struct(
+            F.col("text").alias("q"), F.col("item_id").cast("string").alias("section"),
+        )).alias("cases"))).alias("value"))
+    return docs.golden_questions(_json_files(spark, raw, "golden-json")).select("question", "section",
                                              F.coalesce("beverage_type", F.lit("")).alias("bt"))
 
 

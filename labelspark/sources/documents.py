@@ -23,7 +23,7 @@ REQUIRED_CHUNK_FIELDS = ["part", "section", "text", "source_url"]
 
 def read_json_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file: (file, value)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), "value")
 
 

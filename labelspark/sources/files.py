@@ -48,6 +48,16 @@ def _cells(rows: DataFrame, head: str) -> DataFrame:
     return parsed.select(*[F.col(f"cells.c{i}").alias(name) for i, name in enumerate(names)], "row_number")
 
 
+def read_export_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of an exported table as text, in files of one header; blank cells are empty, not null."""
+    found, heads = records.read_records(spark, path)
+    shapes = [r["head"] for r in heads.select("head").distinct().limit(2).collect()]
+    if len(shapes) != 1:
+        raise ClaimsFormatError("An exported table has files of one header.")
+    cells = _cells(found, shapes[0]).drop("row_number")
+    return cells.select(*[F.coalesce(c, F.lit("")).alias(c) for c in cells.columns])
+
+
 def normalize_claims(raw: DataFrame) -> DataFrame:
     """Cells of the claims columns by trimmed lower-case name, and ``row_number`` (the last column)."""
     names: dict[str, str] = {}
@@ -259,8 +269,8 @@ def eval_cases(images: DataFrame, sidecars: DataFrame, kind: str) -> DataFrame:
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Whole-file text notes keyed by file stem."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
+    files = spark.read.option("recursiveFileLookup", True).option(
         "pathGlobFilter", "*.txt"
-    ).text(path)
+    ).text(path, wholetext=True)
     name = basename(F.col("_metadata.file_path"))
     return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "value")

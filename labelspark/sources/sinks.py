@@ -1,4 +1,8 @@
-"""Writers: results CSV, audit CSV, transcript documents."""
+"""Writers: results CSV, audit CSV, transcript documents.
+
+Each is one Spark write, committed as a whole. Rows are rebalanced first, so the number of files follows
+the bytes and not the tasks that made them.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,9 @@ from labelspark.operators import audit, batch, transcripts
 
 
 def write_results_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    batch.results_export(rows).write.mode(mode).option("header", True).option(
+    batch.results_export(rows).hint("rebalance").write.mode(mode).option("header", True).option(
         "escape", '"'
-    ).csv(path)
+    ).option("emptyValue", "").csv(path)
 
 
 def write_audit_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -18,11 +22,12 @@ def write_audit_csv(rows: DataFrame, path: str, mode: str = "errorifexists") ->
     ordered = rows.orderBy("id")
     audit.export_frame(ordered).write.mode(mode).option("header", True).option(
         "escape", '"'
-    ).option("emptyValue", "").csv(path)
+    ).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_transcripts(cases: DataFrame, steps: DataFrame, path: str,
                       mode: str = "errorifexists") -> None:
-    """One folder per case holding its JSON document."""
+    """One JSON document a line, read back by :func:`transcripts.read_transcript_lines`."""
     documents = transcripts.transcript_documents(cases, steps)
-    documents.write.mode(mode).partitionBy("case_id").text(path)
+    documents.select("document").hint("rebalance").write.mode(mode).text(path)

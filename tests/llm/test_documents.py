@@ -406,6 +406,20 @@ def test_quality_of_odd_rows(odd_docs, no_docs, labelled):
     assert made.count() == odd_docs.count() and made.where("score is null or isnan(score)").count() == 0
     assert quality.keep_good(odd_docs, labels.where("false")).columns == odd_docs.columns
     assert quality.scored(no_docs, model).count() == 0 and quality.train(no_docs, labels)[1] == []
+    own = odd_docs.withColumn("at", F.monotonically_increasing_id())  # its rows, told apart
+    theirs = quality.train(own.select("doc_id", "text"), labels)
+    scores = {r["at"]: r.score for r in quality.measured(own.select("doc_id", "text")).withColumn(
+        "score", quality.probability(theirs)).withColumn("at", F.monotonically_increasing_id()).collect()}
+    kept = sorted(r["at"] for r in quality.keep_good(own, labels, 0.5).collect())
+    assert kept == sorted(at for at, x in scores.items() if x >= 0.5)
+
+
+def test_the_quality_filter_works_out_each_statistic_once(labelled):
+    docs, labels = labelled
+    plan = quality.keep_good(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    alone = quality.measured(docs.select("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    calls = "regexp_count", "regexp_replace", "regexp_extract_all"
+    assert all(plan.count(c) <= alone.count(c) for c in calls) and any(plan.count(c) for c in calls)
 
 
 def test_severity_on_held_out_rows(labelled):

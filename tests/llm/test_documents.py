@@ -176,6 +176,31 @@ def test_small_families_beside_a_large_group_are_linked(spark):
     assert len({made.get(2 * n, 2 * n) for n in range(40)}) == 40
 
 
+def test_pairs_of_a_bucket_are_compared_once_however_it_is_parted(spark, monkeypatch):
+    # Shared wording with own endings: many lines of one bucket, alike and not, in several bands at once.
+    rng = random.Random(12)
+    wording = "".join(rng.choice("klmnopqrst ") for _ in range(60))
+    rows = [(i, wording + "".join(rng.choice("ABCDEFGHIJ") for _ in range(rng.choice([3, 10, 25])))) for i in range(120)]
+    lines = spark.createDataFrame(rows, "id long, line string").withColumns({"row_key": F.lit(1), "line_no": F.col("id")})
+    known = line_dedup.signatures(lines).persist()
+    bands = [f"band{b}" for b in range(line_dedup.BANDS)]
+    listed = known.select("id", "grade", F.posexplode(F.array(*bands)).alias("b", "value")).select(
+        "id", "grade", F.xxhash64("b", "grade", "value").alias("bucket")).persist()
+    joined = spark.createDataFrame([(1, 0), (0, 0), (5, 2), (2, 2)], "node long, component long")
+    component, by, want = {1: 0, 5: 2}, {}, set()
+    for r in known.collect():
+        by.setdefault(r.grade, []).append((r.id, [(r[b] >> 16 * i) & 65535 for b in bands for i in range(4)], [r[b] for b in bands]))
+    for own in by.values():
+        for (a, x, p), (b, y, q) in itertools.combinations(sorted(own), 2):
+            if component.get(a, a) != component.get(b, b) and any(u == v for u, v in zip(p, q)):
+                if sum(u == v for u, v in zip(x, y)) >= line_dedup.ALIKE:
+                    want.add((a, b))
+    assert len(want) > 300
+    for parted in (0, 40, 1_000):
+        monkeypatch.setattr(line_dedup, "PARTED", parted)
+        assert {tuple(r) for r in line_dedup._apart(listed, known, joined).collect()} == want
+
+
 def test_lines_of_odd_rows(odd_docs, no_docs):
     made = line_dedup.dedupe_lines(odd_docs.drop("n_lines"))
     assert made.count() == odd_docs.count()

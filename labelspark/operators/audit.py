@@ -282,19 +282,29 @@ def export_frame(rows: DataFrame) -> DataFrame:
 
     def cell(name: str) -> Column:
         value = F.coalesce(F.col(name).cast("string"), F.lit(""))
-        return F.when(value.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), value)).otherwise(
-            value
-        ).alias(name)
+        risky = F.substring(value, 1, 1).isin(*V.FORMULA_TRIGGERS)
+        return F.when(risky, F.concat(F.lit("'"), value)).otherwise(value).alias(name)
 
     return rows.select(*[cell(c) for c in V.AUDIT_COLUMNS])
 
 
+def quoted(c: Column) -> Column:
+    """A value in quotes as in messages: single ones unless only those occur in it, breaks and tabs escaped."""
+    body = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for sign, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        body = F.replace(body, F.lit(sign), F.lit(shown))
+    double = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def override_records(proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Overrides (id, chain, ts, result_id, new_status, reason) as audit rows, and rejects."""
     status = F.upper(T.strip(F.coalesce("new_status", F.lit(""))))
     blank = T.is_blank(F.col("reason"))
     error = F.when(blank, "An override needs a written reason; none was given.").when(
-        ~status.isin("PASS", "FLAG"), "new_status must be PASS or FLAG"
+        ~status.isin("PASS", "FLAG"),
+        F.concat(F.lit("new_status must be PASS or FLAG, got "), quoted(F.coalesce("new_status", F.lit(""))), F.lit(".")),
     )
     checked = proposals.withColumn("error", error)
     good = checked.filter("error is null").select(

@@ -1011,7 +1011,7 @@ def audit_statements() -> dict[str, str]:
     status = "upper(trim(CASE id % 3 WHEN 0 THEN ' pass ' WHEN 1 THEN 'Flag' ELSE 'maybe' END))"
     blank = f"{strip('reason')} = ''"
     error = (f"CASE WHEN {blank} THEN 'An override needs a written reason; none was given.' "
-             f"WHEN {status} NOT IN ('PASS', 'FLAG') THEN 'new_status must be PASS or FLAG' END")
+             f"WHEN {status} NOT IN ('PASS', 'FLAG') THEN 'new_status must be PASS or FLAG, got ''maybe''.' END")
     value = strip("reason")
     return {
         "aud01_canonical": f"WITH {AUD} SELECT id, {_canon()} AS content FROM ag",

@@ -76,3 +76,12 @@ def test_verification_reads_the_chain_once(spark, chain, tmp_path):
     rows, marks = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("chain", "marks"))
     plan = audit.verify_chains(rows, marks)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and plan.count(f"{tmp_path}/chain") <= 1
+
+
+def test_a_rejected_override_says_what_was_asked(spark):
+    asked = ["maybe", " it's ", 'say "no"', 'both \' and "', "a\nb\t\\", "", None]
+    rows = [(i, "c", "t", "r", s, "why") for i, s in enumerate(asked)]
+    _, bad = audit.override_records(spark.createDataFrame(
+        rows, "id long, chain string, ts string, result_id string, new_status string, reason string"))
+    assert {r.id: r.error for r in bad.collect()} == {
+        i: f"new_status must be PASS or FLAG, got {(s or '')!r}." for i, s in enumerate(asked)}

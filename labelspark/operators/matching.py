@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from labelspark import fixed_values as V
 from labelspark.functions import similarity, text as T
+from labelspark.session import spread
 from labelspark.settings import THRESHOLDS
 
 FIELD_TYPE = (
@@ -544,8 +545,10 @@ def verify_table(
     Needs ``brand``, ``alcohol_content``, ``net_contents`` and ``class_type`` claim columns.
     ``recognition`` names a struct column from :mod:`labelspark.operators.standards`; optional
     fields enter the result only where claimed. With ``gate`` unreadable text yields no fields;
-    its text is hidden from the matchers, so nothing is scored for it.
+    its text is hidden from the matchers, so nothing is scored for it. Rows are dealt out anew first,
+    since the planner would size the tasks by bytes.
     """
+    df = spread(df)
     readable = T.is_readable(F.col(text)) if gate else F.lit(True)
     df = df.withColumn("readable", readable)
     df = df.withColumn("_seen", F.when(F.col("readable"), F.col(text)))

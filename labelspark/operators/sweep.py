@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from labelspark import fixed_values as V
 from labelspark.functions import similarity, text as T
 from labelspark.operators import matching, retrieval
+from labelspark.session import spread
 from labelspark.settings import THRESHOLDS
 
 #: An aggregate for one point, given the point's parameters as literals.
@@ -108,7 +109,7 @@ ABLATION_GRID = {
 def ablation_signals(labels: DataFrame) -> DataFrame:
     """Rule signals of each label: brand score with and without windows, warning parts, and
     alcohol matches from each candidate source."""
-    df = matching.with_best_lines(labels, {"_best": "brand"}, "text")
+    df = matching.with_best_lines(spread(labels), {"_best": "brand"}, "text")
     plain = similarity.best_line_udf(1 << 30)
     lines = F.transform(T.text_lines(F.col("text")), T.normalize_loose)
     df = df.withColumn("_plain", plain(T.normalize_loose(F.col("brand")), lines))

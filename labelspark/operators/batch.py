@@ -65,8 +65,9 @@ def join_claims(labels: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFr
     """
     keyed = claims_by_key(claims)
     labels = labels.withColumn("key", F.lower(T.strip(F.col("filename"))))
-    joined = labels.join(keyed, "key", "left").withColumn("join_status", label_status())
-    alone = keyed.join(labels.select("key"), "key", "left_anti").withColumn(
+    # Sides that grow with the batch are merged: their compressed bytes would let millions of rows be broadcast.
+    joined = labels.join(keyed.hint("merge"), "key", "left").withColumn("join_status", label_status())
+    alone = keyed.join(labels.select("key").hint("merge"), "key", "left_anti").withColumn(
         "join_status",
         F.when(F.col("copies") > 1, "duplicate_application_data").otherwise("no_image"),
     )
@@ -94,7 +95,7 @@ def verify_batch(
             claims.select(F.coalesce("class_type", F.lit("")).alias("designation")), dictionary
         )
         resolved = resolved.withColumnRenamed("designation", "class_type")
-        joined = joined.join(resolved, "class_type", "left")
+        joined = joined.join(resolved.hint("merge"), "class_type", "left")
         recognised = "recognition"
     ok = F.col("join_status") == "ok"
     # Text of unusable rows is hidden, so one narrow pass serves every label row.

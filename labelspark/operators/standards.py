@@ -62,7 +62,8 @@ def resolve_designations(keys: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.min("entry_type").alias("_least"),
         F.max("entry_type").alias("_most"),
     )
-    return keys.join(found, ["designation", "beverage_type"], "left")
+    # Short rows compress so well that the planner would broadcast millions: no side here is small by nature.
+    return keys.join(found.hint("merge"), ["designation", "beverage_type"], "left")
 
 
 def recognition(designation: Column, beverage_type: Column) -> Column:
@@ -138,7 +139,7 @@ def with_recognition(
         F.col("designation").alias("_name"), F.col("beverage_type").alias("_kind"),
         F.col("recognition").alias(out),
     )
-    joined = df.join(resolved, ["_name", "_kind"], "left")
+    joined = df.join(resolved.hint("merge"), ["_name", "_kind"], "left")
     return joined.drop("_name", "_kind")
 
 

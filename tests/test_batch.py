@@ -3,7 +3,7 @@ import zipfile
 import pytest
 
 from labelspark import fixed_values as V
-from labelspark.operators import batch
+from labelspark.operators import batch, matching, standards
 from labelspark.sources import documents, files
 
 
@@ -64,3 +64,29 @@ def test_archives_and_listing(spark, tmp_path):
     assert [(r.filename, r.size) for r in kept] == [("one.png", 4)]
     listed = files.scan_label_files(spark, str(tmp_path)).collect()
     assert [(r.filename, r.length) for r in listed] == [("loose.JPG", 3)]
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    """Small as they are here, by bytes the planner would broadcast them."""
+    claims = spark.createDataFrame(
+        [("a.png", "x", "5.0", "", "gin"), ("b.png", "y", "5.0", "", "")],
+        "filename string, brand string, alcohol_content string, net_contents string, class_type string")
+    labels = spark.createDataFrame([(0, "A.png"), (1, "c.png")], "ordinal long, filename string")
+    for frame in batch.join_claims(labels, claims):
+        assert "SortMergeJoin" in _plan(frame) and "BroadcastHashJoin" not in _plan(frame)
+    known = standards.with_recognition(claims, documents.default_designations(spark), "class_type")
+    assert "BroadcastHashJoin [_name" not in _plan(known) and "SortMergeJoin [_name" in _plan(known)
+    assert {r.filename: r.recognition.recognized for r in known.collect()} == {"a.png": True, "b.png": False}
+
+
+def test_matching_is_dealt_over_all_tasks(spark):
+    rows = spark.range(100).selectExpr(
+        "id", "concat('Brand ', id, '\\nALC 5% BY VOL') text", "90D confidence", "concat('Brand ', id) brand",
+        "'5.0' alcohol_content", "'' net_contents", "'' class_type").coalesce(1)
+    done = matching.verify_table(rows)
+    assert done.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    assert done.where("fields[0].passed and fields[1].passed").count() == 100

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -77,6 +78,27 @@ def test_top_k_is_that_of_all_passages(searched, monkeypatch):
         assert made == {q: [(m, round(s, 6), o) for m, s, o in rows[:k]] for q, rows in want.items()}
 
 
+def test_many_passages_are_looked_up_in_the_term_table(searched, monkeypatch):
+    texts, questions, index, asked = searched
+    want, _ = ranked_by_hand(texts, questions)
+    monkeypatch.setattr(postings, "FEW", 0)
+    made = {q: [] for q in questions}
+    for r in retrieval.retrieve(index, asked, 7).orderBy("query_id", "rank").collect():
+        made[r.query_id].append((r.matched, round(r.bm25, 6), r.ordinal))
+    assert made == {q: [(m, round(s, 6), o) for m, s, o in rows[:7]] for q, rows in want.items()}
+
+
+def test_term_counts_need_no_postings(spark):
+    index = retrieval.build_index(corpus_frame(spark, ["red wine wine", "red", None]))
+    assert {r.term: (r.df, r.content_df) for r in index.vocab.collect()} == {"red": (2, 2), "wine": (1, 1)}
+    asked = spark.createDataFrame([(1, "red gin")], "query_id long, question string")
+    assert [r.term for r in retrieval.distinguishing_terms(index, asked).collect()] == ["gin"]
+    assert [r.doc_id for r in retrieval.score_pairs(index, asked).orderBy("ordinal").collect()] == [1000, 999]
+    folders = {p.name for p in Path(index.path.removeprefix("file:")).iterdir()}
+    assert "terms" in folders and "postings" not in folders
+    assert index.postings.count() == 2 and retrieval.retrieve(index, asked, 4).count() == 3
+
+
 def test_passages_that_score_below_zero_follow_untouched_ones(spark, monkeypatch):
     """Terms in nearly every passage: the mean idf is below zero, and so are scores."""
     rng = random.Random(5)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.operators import matching
+from labelspark.session import by_rows, materialize
 
 BOARD_FIELDS = {
     "brand": "exp_brand", "alcohol_content": "exp_alcohol", "government_warning": "exp_warning",
@@ -101,7 +102,10 @@ def retrieval_cases(golden: DataFrame, answers: DataFrame, corpus: DataFrame) ->
         "query_id", "answer", F.col("c.doc_id").alias("doc_id")
     )
     # A cited passage that the corpus doesn't hold isn't faithful either.
-    verbatim = cited.join(corpus.select("doc_id", "text"), "doc_id", "left").groupBy("query_id").agg(
+    # The cited passages are picked by a broadcast of their ids, so that no exchange carries the corpus.
+    wanted = materialize(cited.select("doc_id").distinct(), "cited")
+    texts = corpus.select("doc_id", "text").join(by_rows(wanted), "doc_id", "left_semi")
+    verbatim = cited.join(texts, "doc_id", "left").groupBy("query_id").agg(
         F.bool_and(F.coalesce(F.contains("answer", "text"), F.lit(False))).alias("verbatim")
     )
     must_refuse = F.col("section").isNull()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from labelspark import fixed_values as V
-from labelspark.operators import clusters, dense, postings, retrieval
+from labelspark.operators import clusters, dense, evaluation, postings, retrieval
 from labelspark.session import scratch_path
 
 CORPUS = ("doc_id long, ordinal long, text string, heading string, section string, "
@@ -88,6 +88,36 @@ def test_many_passages_are_looked_up_in_the_term_table(searched, monkeypatch):
     assert made == {q: [(m, round(s, 6), o) for m, s, o in rows[:7]] for q, rows in want.items()}
 
 
+def test_unwanted_pairs_are_dropped_before_an_exchange(searched, spark, monkeypatch):
+    """What a task sends is what is wanted, also of passages in several parts of the corpus."""
+    _, questions, index, asked = searched
+    monkeypatch.setattr(postings, "FEW", 0)
+    monkeypatch.setattr(postings, "PART", 16)
+    terms = postings.asked_terms(index, retrieval.query_terms(asked))
+    wanted = spark.createDataFrame([(q, o) for q in questions for o in (q, 100 + q, 301)], "query_id long, ordinal long")
+    every = {(r.query_id, r.ordinal): (r.bm25, r.matched) for r in postings.score_all(index, terms).collect()}
+    places = {(r.query_id, r.ordinal) for r in wanted.collect()}
+    pairs = postings._pairs(index, terms, wanted)
+    assert {(r.query_id, r.ordinal) for r in pairs.collect()} == places & set(every)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("hashpartitioning(query_id") < plan.index("array_contains(places")  # from the end to the start
+    for parts in (0, 1_000):
+        monkeypatch.setattr(postings, "FEW_PARTS", parts)
+        made = postings.score_places(index, terms, wanted)
+        assert {(r.query_id, r.ordinal): (r.bm25, r.matched) for r in made.collect()} == {
+            p: every.get(p, (0.0, 0)) for p in places}
+
+
+def test_hits_are_sent_to_the_corpus(searched, spark):
+    """No exchange carries the texts of the corpus to the few passages that are cited."""
+    _, _, index, asked = searched
+    done = retrieval.answer(index, asked.selectExpr("query_id", "question", "'' beverage_type"))
+    golden = asked.selectExpr("query_id", "concat('s', query_id) section")
+    plan = evaluation.retrieval_cases(golden, done, index.corpus)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[doc_id#\d+L\], \[doc_id#\d+L\], LeftSemi", plan)
+    assert plan.count("BroadcastHashJoin [doc_id") >= 2
+
+
 def test_term_counts_need_no_postings(spark):
     index = retrieval.build_index(corpus_frame(spark, ["red wine wine", "red", None]))
     assert {r.term: (r.df, r.content_df) for r in index.vocab.collect()} == {"red": (2, 2), "wine": (1, 1)}

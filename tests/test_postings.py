@@ -118,6 +118,19 @@ def test_hits_are_sent_to_the_corpus(searched, spark):
     assert plan.count("BroadcastHashJoin [doc_id") >= 2
 
 
+def test_many_looked_up_rules_are_not_broadcast(spark, own_index, monkeypatch):
+    rows = spark.createDataFrame(
+        [(f, "government_warning", f == "b", f"wording of the warning differs {f}") for f in "abc"]
+        + [("d", "alcohol_content", False, None)], "filename string, field string, passed boolean, detail string")
+    made = {}
+    for limit, join in ((1_000, "BroadcastHashJoin [query_id"), (0, "SortMergeJoin [query_id")):
+        monkeypatch.setattr(retrieval, "RULES", limit)
+        frame = retrieval.attach_regulations(own_index, rows)
+        assert join in frame._jdf.queryExecution().executedPlan().toString()
+        made[limit] = sorted(map(tuple, frame.select("filename", "field", "passed", "rule").collect()))
+    assert made[0] == made[1_000] and len(made[0]) == 4 and {r[0] for r in made[0] if r[3]} >= {"a", "c"}
+
+
 def test_term_counts_need_no_postings(spark):
     index = retrieval.build_index(corpus_frame(spark, ["red wine wine", "red", None]))
     assert {r.term: (r.df, r.content_df) for r in index.vocab.collect()} == {"red": (2, 2), "wine": (1, 1)}

@@ -105,10 +105,9 @@ def train(docs: DataFrame, labels: DataFrame, trees: int = 16, depth: int = 3, p
         "doc_id is not null and label is not null"
     ).where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     known = measured(docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id"))
-    data = materialize(
-        known.join(F.broadcast(chosen), "doc_id").repartition(8, "doc_id")
-        .sortWithinPartitions("doc_id", *FEATURES), "training",
-    )
+    # Forests draw by partition and place, and written files come back in any order, so rows are dealt after reading.
+    data = materialize(known.join(F.broadcast(chosen), "doc_id"), "training").repartition(8, "doc_id").sortWithinPartitions(
+        "doc_id", *FEATURES, "label")
     totals = data.agg(F.count("*").alias("n"), F.sum("label").alias("good")).first()
     if not totals.n or totals.good in (0, totals.n):
         share = ((totals.good or 0) + 1) / (totals.n + 2)

@@ -439,6 +439,16 @@ def test_quality_of_odd_rows(odd_docs, no_docs, labelled):
     assert kept == sorted(at for at, x in scores.items() if x >= 0.5)
 
 
+def test_quality_learns_the_same_from_files_in_any_order(odd_docs, labelled, monkeypatch):
+    own, labels, written = odd_docs.select("doc_id", "text"), labelled[1], quality.materialize
+    models = []
+    for seed in range(4):
+        monkeypatch.setattr(quality, "materialize", lambda df, name: written(df, name).repartition(6).orderBy(F.rand(seed)))
+        intercept, weights = quality.train(own, labels)
+        models.append((round(intercept, 6), [(round(w, 6), r) for w, r in weights]))
+    assert all(m == models[0] for m in models)
+
+
 def test_the_quality_filter_works_out_each_statistic_once(labelled):
     docs, labels = labelled
     plan = quality.keep_good(docs, labels)._jdf.queryExecution().optimizedPlan().toString()

@@ -355,6 +355,28 @@ def test_chains_keep_order_and_best_score():
     assert sorted(sum(passages.chains(parts), [])) == sorted(parts)
 
 
+def test_texts_of_the_same_words_in_another_order_are_not_aligned(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    for i in range(40):
+        own = [f"w{rng.randrange(80)}" for _ in range(160)]
+        own[80:80] = "one run of words that all of them hold".split()
+        rows.append((i, " ".join(own)))
+    copied = rows[3][1].split()[50:130]
+    rows.append((40, " ".join([f"x{i}" for i in range(30)] + copied + [f"y{i}" for i in range(30)])))
+    aligned, written = [], passages.materialize
+
+    def counted(df, name):
+        made = written(df, name)
+        if name == "chains":
+            aligned.append(made.count())
+        return made
+
+    monkeypatch.setattr(passages, "materialize", counted)
+    made = passages.find_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in made} in ({(40, 3)}, {(3, 40)})
+    assert aligned[-1] < 40  # of 820 pairs that share the run and most of the words
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     made = passages.find_passages(odd_docs).collect()
     assert {(r.doc_id, r.first_doc_id) for r in made if r.end_word == r.first_end == 120} >= {(2, 1), (None, 1)}

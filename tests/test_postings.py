@@ -108,6 +108,30 @@ def test_unwanted_pairs_are_dropped_before_an_exchange(searched, spark, monkeypa
             p: every.get(p, (0.0, 0)) for p in places}
 
 
+def test_pairs_of_other_blocks_are_dropped_before_an_exchange(searched, spark, monkeypatch):
+    """What a search sends of many kept blocks are their passages only; the rest of the corpus stays where it is."""
+    _, questions, index, asked = searched
+    monkeypatch.setattr(postings, "PART", 16)
+    terms = postings.asked_terms(index, retrieval.query_terms(asked))
+    every = {(r.query_id, r.ordinal): (round(r.score, 9), r.matched) for r in postings._pairs(index, terms).collect()}
+    kept = spark.createDataFrame([(q, b) for q in questions for b in (q % 3, 4)], "query_id long, block long")
+    blocks = {tuple(r) for r in kept.collect()}
+    pairs = postings._pairs(index, terms, kept)
+    assert {(r.query_id, r.ordinal): (round(r.score, 9), r.matched) for r in pairs.collect()} == {
+        (q, o): x for (q, o), x in every.items() if (q, o // postings.BLOCK) in blocks}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("hashpartitioning(query_id") < plan.index("array_contains(places")  # from the end to the start
+
+
+def test_postings_hold_no_numbers_they_share_with_their_block(spark):
+    """The postings are most of the index: a posting is its place in the block, its counts and what it is."""
+    index = retrieval.build_index(corpus_frame(spark, ["red wine", *["dry"] * 130, "red red"]))
+    fields = index.postings.schema["list"].dataType.elementType.fieldNames()
+    assert fields == ["place", "dl", "tf", "content"]
+    assert sorted(tuple(r) for r in index.entries().where("term = 'red'").select("ordinal", "dl", "tf").collect()) == [
+        (0, 2, 1), (131, 2, 2)]
+
+
 def test_hits_are_sent_to_the_corpus(searched, spark):
     """No exchange carries the texts of the corpus to the few passages that are cited."""
     _, _, index, asked = searched

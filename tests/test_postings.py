@@ -132,6 +132,13 @@ def test_postings_hold_no_numbers_they_share_with_their_block(spark):
         (0, 2, 1), (131, 2, 2)]
 
 
+def test_rare_terms_are_looked_for_in_the_top_passage(spark):
+    index = retrieval.build_index(corpus_frame(spark, ["red wine", *["dry"] * 70, "dry gin"]))
+    asked = spark.createDataFrame([(1, "gin"), (2, "gin"), (3, "dry")], "query_id long, question string")
+    tops = spark.createDataFrame([(1, 929), (2, 1000), (3, 1000)], "query_id long, doc_id long")  # ordinals 71, 0, 0
+    assert [r.query_id for r in retrieval.unfaithful_queries(index, asked, tops, 1).collect()] == [2]
+
+
 def test_hits_are_sent_to_the_corpus(searched, spark):
     """No exchange carries the texts of the corpus to the few passages that are cited."""
     _, _, index, asked = searched

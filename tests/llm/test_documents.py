@@ -201,6 +201,60 @@ def test_pairs_of_a_bucket_are_compared_once_however_it_is_parted(spark, monkeyp
         assert {tuple(r) for r in line_dedup._apart(listed, known, joined).collect()} == want
 
 
+def edited_family(rng, base, n):
+    """Lines that lose, gain or change a few stretches of the base, and edited ones of these."""
+    made = [base]
+    while len(made) < n:
+        line = base if rng.random() < 0.7 else rng.choice(made)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(line) - 8)
+            line = line[:at] + "".join(rng.choice("0123456789") for _ in range(rng.choice([0, 0, 1, 4, 9]))) + line[at + rng.choice([0, 1, 4, 9]):]
+        made.append(line[: rng.choice([len(line)] * 4 + [len(line) * 9 // 10])])
+    return made
+
+
+def test_links_beside_a_hub_are_those_of_all_pairs(spark, monkeypatch):
+    rng, rows = random.Random(45), []
+    for n, long in enumerate((70, 95, 400)):
+        base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(long))
+        rows += [(1_000 * n + i, line) for i, line in enumerate(dict.fromkeys(edited_family(rng, base, 70)))]
+    lines = spark.createDataFrame(rows, "id long, line string").withColumns({"row_key": F.lit(1), "line_no": F.col("id")})
+    monkeypatch.setattr(line_dedup, "PARTED", 2)
+    monkeypatch.setattr(line_dedup, "ROUNDS", 1)
+    made, listed = linked(spark, lines)
+    sets = {i: {x[j : j + 8] for j in range(len(x) - 7)} for i, x in rows}
+    by, links = {}, set()
+    for r in listed.collect():
+        by.setdefault(r.bucket, []).append(r.id)
+    for own in by.values():
+        links |= {(a, b) for a, b in itertools.combinations(sorted(own), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    want = groups(links, sets)
+    assert len(set(want.values())) > 40 and {i: made.get(i, i) for i in sets} == want
+
+
+def test_a_family_of_unlike_edits_is_not_compared_in_all_pairs(spark, monkeypatch):
+    # 500 lines, each with a stretch of its own, so that hardly two are near; 50 have a near copy.
+    rng = random.Random(46)
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(90))
+    rows = [(0, base)]
+    for i in range(1, 501):
+        x = rng.randrange(8, 78)
+        line = base[:x] + f"{i:04d}" + base[x + 4 :]
+        rows += [(i, line)] + ([(1_000 + i, line + "0")] if i % 10 == 0 else [])
+    lines = spark.createDataFrame(rows, "id long, line string").withColumns({"row_key": F.lit(1), "line_no": F.col("id")})
+    counts, written = [], line_dedup.materialize
+
+    def counted(frame, name):
+        made = written(frame, name)
+        counts.append(made.count() if name in ("apart", "beside") else 0)
+        return made
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    made, _ = linked(spark, lines)
+    assert all(made.get(1_000 + i, 1_000 + i) == made.get(i, i) for i in range(10, 501, 10))
+    assert sum(counts) < 5_000  # of 150,000 pairs
+
+
 def test_lines_of_odd_rows(odd_docs, no_docs):
     made = line_dedup.dedupe_lines(odd_docs.drop("n_lines"))
     assert made.count() == odd_docs.count()

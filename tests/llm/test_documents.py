@@ -431,6 +431,26 @@ def test_texts_of_the_same_words_in_another_order_are_not_aligned(spark, monkeyp
     assert aligned[-1] < 40  # of 820 pairs that share the run and most of the words
 
 
+def test_seeds_are_dealt_once(spark, monkeypatch):
+    # The first holder of a seed and all others come from one exchange of the seeds.
+    frames, written = {}, passages.materialize
+
+    def noted(made, name):
+        frames[name] = made
+        return written(made, name)
+
+    monkeypatch.setattr(passages, "materialize", noted)
+    own = " ".join(words(80, 5))
+    made = passages.find_passages(frame(spark, [(i, own + f" {i} " + " ".join(words(30, i))) for i in range(6)]))
+    assert made.count() == 5 and "hubs" not in frames
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = frames["shared"].select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("- Exchange hashpartitioning(seed") == 1 and plan.count("- ReusedExchange") == 1
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     made = passages.find_passages(odd_docs).collect()
     assert {(r.doc_id, r.first_doc_id) for r in made if r.end_word == r.first_end == 120} >= {(2, 1), (None, 1)}
